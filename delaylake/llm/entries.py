@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, simhash
+from . import ann, decontam, simhash, suffix_dedup
 
-MODULES = (simhash, ann)
+MODULES = (simhash, ann, suffix_dedup, decontam)
 
 
 def queries() -> dict:
