@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, simhash, suffix_dedup
+from . import ann, decontam, simhash, suffix_dedup, token_store
 
-MODULES = (simhash, ann, suffix_dedup, decontam)
+MODULES = (simhash, ann, suffix_dedup, token_store, decontam)
 
 
 def queries() -> dict:
