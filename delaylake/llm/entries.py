@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, simhash, suffix_dedup, token_store, toxicity, url_filter
+from . import ann, decontam, simhash, sp_codec, suffix_dedup, token_store, toxicity, url_filter
 
-MODULES = (simhash, ann, suffix_dedup, token_store, decontam, url_filter, toxicity)
+MODULES = (simhash, ann, suffix_dedup, token_store, decontam, url_filter, sp_codec, toxicity)
 
 
 def queries() -> dict:
