@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 DIMS = 8
 CONFIDENCE = 0.97
@@ -160,6 +160,7 @@ def nearest(
     vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, confidence: float = CONFIDENCE
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every usable row whose vec_id is divisible by ``query_every``."""
+    ship(vectors.sparkSession)
     usable = _usable(vectors)
     # two small aggregates: the width that holds, and how many shards and blocks there are
     widths = usable.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table, texts_of
+from .common import strings, ship, table, texts_of
 
 WINDOW = 13
 AUTOMATON_BYTES = 16 << 20
@@ -218,6 +218,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     if shared is None:
         bad = matches(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
         return docs.join(bad, docs["doc_id"].cast("long") == bad["_id"], "left_anti")
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

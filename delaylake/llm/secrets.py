@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table, texts_of
+from .common import strings, ship, table, texts_of
 from .trees import Forest
 
 DICTIONARY_DOCS = 2_000
@@ -273,6 +273,7 @@ def findings(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
 def redacted(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """All rows and columns of ``docs``, each secret in ``text`` replaced (``n_chars``, if there, follows)."""
+    ship(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
     count = names.index("n_chars") if "n_chars" in names else None
 

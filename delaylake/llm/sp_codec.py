@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pieces as text_pieces
-from .common import table, texts_of
+from .common import ship, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -241,6 +241,7 @@ class Decoder:
 
 def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") -> DataFrame:
     """The rows of ``docs``, all columns, with the piece ids as array<int> in ``column``."""
+    ship(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
     at = docs.columns.index("text")
     names = docs.columns + [column]
@@ -260,6 +261,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") ->
 
 def decoded(rows: DataFrame, path: str | None = None, column: str = "pieces") -> DataFrame:
     """``doc_id, text`` from ``doc_id`` and an array of piece ids."""
+    ship(rows.sparkSession)
     vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +275,7 @@ def decoded(rows: DataFrame, path: str | None = None, column: str = "pieces") ->
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode every text: ``doc_id, n_pieces, ids_crc32, decoded_sha256, exact``."""
+    ship(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "exact"]
 

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, pieces, table
+from .common import fresh_path, pieces, ship, table
 
 END_ID = 0
 #: Chunks end where this many low bits of the rolling hash are zero: 1024 ids on average.
@@ -169,6 +169,7 @@ _CHUNKS = "kind string, route long, doc_id long, uid long, seq int, digest binar
 
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode ``docs`` (``doc_id, text``) into a store at ``path``, with the tokenizer file ``tokenizer``."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -308,6 +309,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def checked(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from verified files."""
+    ship(spark)
     verify_manifest(spark, path)
     facts = spark.read.parquet(f"{path}/data").filter("kind = 'chunk'").select("digest", "payload").mapInArrow(_facts, "digest binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")

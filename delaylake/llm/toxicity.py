@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, strings, table, texts_of
+from .common import stored, strings, ship, table, texts_of
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -262,6 +262,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of ``docs``, all columns, whose score stays below the threshold."""
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

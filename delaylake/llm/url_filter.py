@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 from .trees import Boosted
 
 #: (host, path, verdict)
@@ -129,6 +129,7 @@ def fit(labelled: pd.DataFrame) -> UrlModel:
 
 def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every page; score is the model's chance of block."""
+    ship(pages.sparkSession)
     url = F.col("url").cast("string")
     host, path = host_path(url)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
