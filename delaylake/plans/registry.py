@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import driver_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(driver_queries.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(driver_queries.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Replay of an archive and the error of its forecasts by horizon."""
+    return driver_queries.q31(spark, sf_dir)
