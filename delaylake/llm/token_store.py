@@ -47,17 +47,21 @@ CACHE_UNITS = 400_000
 TOKENIZER = "byte_bpe_50k.json"
 
 #: Where splitting before each space could differ from the tokenizer's own rule.
-_TANGLED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)|<\|endoftext\|>"
+_TANGLED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)|<\|endoftext\|>|\x00"
+#: Borders inside a word where a token always ends: behind letters, and behind a lone line's end before a letter.
+_BORDERS = ((r"(\pL)([^\pL\x00])", "\\1\0\\2"), (r"([^\s\x0b\x1c-\x1f\x{85}\p{Z}])\n(\pL)", "\\1\n\0\\2"))
+_SIMPLE = r"^ [^\s\x0b\x1c-\x1f\x{85}\p{Z}]+\z"
 
 _GEAR = np.random.default_rng(11).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
 class Encoder:
-    """Encodes batches of texts; distinct units between spaces are encoded once and remembered.
+    """Encodes batches of texts; distinct units are encoded once and remembered.
 
     Byte-level pre-tokenization always starts a token before a space that a
-    non-space follows, so units can be encoded on their own. Texts with other
-    runs of white space are encoded whole.
+    non-space follows, ends one where letters end, and starts one where a letter
+    follows a lone line's end, so what lies between can be encoded on its own. Texts
+    with other runs of white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -68,10 +72,32 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.known: dict[str, bytes] = {}
+        #: which ids' pieces start with a space (the byte-level sign for it)
+        self.spaced = np.zeros(1 << 16, dtype=bool)
+        self.spaced[[i for piece, i in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_new(self, units: list[str]) -> list[bytes]:
+        """Units of one space and signs without white space are encoded joined: their ids part where a piece starts with a space."""
+        simple = pc.match_substring_regex(pa.array(units, type=pa.string()), _SIMPLE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(units)
+        other = np.flatnonzero(~simple).tolist()
+        for i, ids in zip(other, self._encode([units[i] for i in other])):
+            out[i] = ids
+        joined = np.flatnonzero(simple).tolist()
+        for lo in range(0, len(joined), 4096):
+            part = joined[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode("".join([units[i] for i in part]), add_special_tokens=False).ids, dtype="<u2")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):
+                raise AssertionError("units did not part at their spaces")
+            raw, bounds = ids.tobytes(), [*(2 * starts).tolist(), 2 * len(ids)]
+            for k, i in enumerate(part):
+                out[i] = raw[bounds[k] : bounds[k + 1]]
+        return out
+
     def _units(self, units: list[str]) -> list[bytes]:
         known = self.known
         new = [u for u in units if u not in known]
@@ -79,7 +105,7 @@ class Encoder:
             if len(known) + len(new) > CACHE_UNITS:
                 known.clear()
                 new = units
-            known.update(zip(new, self._encode(new)))
+            known.update(zip(new, self._encode_new(new)))
         return [known[u] for u in units]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,30 +113,39 @@ class Encoder:
         n = len(texts)
         tangled = pc.match_substring_regex(texts, _TANGLED).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(tangled), pa.scalar("", texts.type), texts)
-        split = pc.split_pattern(plain, " ")
+        plain = pc.replace_substring(plain, " ", "\0 ")
+        for pattern, cut in _BORDERS:
+            plain = pc.replace_substring_regex(plain, pattern, cut)
+        split = pc.split_pattern(plain, "\0")
         offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        units = [" " + u for u in coded.dictionary.to_pylist()]
-        # a text's first unit has no space before it
-        first = pc.list_element(split, 0).dictionary_encode() if n else coded
-        index[offsets[:-1] - offsets[0]] = first.indices.to_numpy() + len(units)
-        units += first.dictionary.to_pylist()
-        parts = self._units(units)
+        parts = self._units(coded.dictionary.to_pylist())
         whole = np.flatnonzero(tangled)
         if len(whole):
             # a tangled text was emptied to one unit, which its whole encoding replaces
-            index[offsets[whole] - offsets[0]] = len(units) + np.arange(len(whole))
+            index[offsets[whole]] = len(parts) + np.arange(len(whole))
             parts = parts + self._encode([texts[int(i)].as_py() for i in whole])
         parts.append(np.array([END_ID], dtype="<u2").tobytes())
-        index = np.insert(index, offsets[1:] - offsets[0], len(parts) - 1)
+        index = np.insert(index, offsets[1:], len(parts) - 1)
         flat = np.frombuffer(b"".join(parts), dtype="<u2")
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
         starts = np.cumsum(sizes) - sizes
         length = sizes[index]
         upto = np.cumsum(length)
         ids = flat[np.repeat(starts[index] - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, upto[(offsets[1:] - offsets[0]) + np.arange(n)] if n else np.zeros(0, dtype=np.int64)
+        return ids, upto[offsets[1:] + np.arange(n)] if n else np.zeros(0, dtype=np.int64)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it remembers outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -137,9 +172,9 @@ def _encode_chunks(path: str):
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         sent: set[bytes] = set()
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 6 << 20):
             ids, ends = encoder.batch(batch.column(2).cast(pa.string()))
             marks = cuts(ids, ends)
             doc_of = np.searchsorted(ends, marks, side="left")
