@@ -63,24 +63,33 @@ def as_of(
     return joined.select("_row.*", *[found[v].alias(v) for v in values])
 
 
-def closed_means(
-    probes: DataFrame, history: DataFrame, keys: list[str], bucket: str, window: int | None, name: str, least: int = 1
-) -> DataFrame:
-    """``probes`` with the mean of ``history`` (``keys, bucket, n, total``) over closed buckets.
+def closed_mean_table(asked: DataFrame, history: DataFrame, keys: list[str], bucket: str, window: int | None, name: str, least: int = 1) -> DataFrame:
+    """``keys, bucket, name`` for every (keys, bucket) of ``asked``: the mean of ``history`` (``keys, bucket, n, total``) over closed buckets.
 
     Buckets ``[b - window, b - 1]``, or all before ``b`` where ``window`` is None;
-    null with fewer than ``least`` observations. One shuffle on the keys: distinct
-    probed buckets join the series as empty ones, a range frame sums them.
+    no row with fewer than ``least`` observations. One shuffle on the keys:
+    distinct asked buckets join the series as empty ones, a range frame sums them.
     """
-    asked = probes.select(*keys, bucket).distinct().select("*", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"))
-    series = history.select(*keys, bucket, F.col("n").cast("long").alias("n"), F.col("total").cast("double").alias("total")).unionByName(asked)
-    series = series.groupBy(*keys, bucket).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    empty = asked.select(*keys, bucket).distinct().select("*", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(1).alias("_asked"))
+    series = history.select(*keys, bucket, F.col("n").cast("long").alias("n"), F.col("total").cast("double").alias("total"), F.lit(0).alias("_asked")).unionByName(empty)
+    series = series.groupBy(*keys, bucket).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("_asked").alias("_asked"))
     low = Window.unboundedPreceding if window is None else -window
     frame = Window.partitionBy(*keys).orderBy(bucket).rangeBetween(low, -1)
     n, total = F.sum("n").over(frame), F.sum("total").over(frame)
-    means = series.select(*keys, bucket, F.when(n >= least, total / n).alias(name)).filter(F.col(name).isNotNull())
-    same = [probes[k].eqNullSafe(means[k]) for k in keys] + [probes[bucket] == means[bucket]]
-    return probes.join(means, same, "left").select(*[probes[c] for c in probes.columns], means[name])
+    means = series.select(*keys, bucket, "_asked", F.when(n >= least, total / n).alias(name))
+    return means.filter((F.col("_asked") == 1) & F.col(name).isNotNull()).drop("_asked")
+
+
+def joined(rows: DataFrame, looked_up: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left-joined with a lookup's result on its keys, null-safely."""
+    new = [c for c in looked_up.columns if c not in keys]
+    side = looked_up.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *new)
+    return rows.join(side, [rows[k].eqNullSafe(side[f"_k_{k}"]) for k in keys], "left").select(*rows.columns, *new)
+
+
+def closed_means(probes: DataFrame, history: DataFrame, keys: list[str], bucket: str, window: int | None, name: str, least: int = 1) -> DataFrame:
+    """``probes`` with the mean of :func:`closed_mean_table` (null where that has none)."""
+    return joined(probes, closed_mean_table(probes, history, keys, bucket, window, name, least), [*keys, bucket])
 
 
 def last_by_other(

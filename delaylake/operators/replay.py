@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from delaylake.functions.temporal import bucket_of, hour_floor, instant, own_date, own_hour, own_weekday, sampled, secs
 from delaylake.schemas import TRAINING_ROWS
 
-from .asof import as_of, closed_means, in_force, last_by_other
+from .asof import as_of, closed_mean_table, closed_means, in_force, joined, last_by_other
+from .cut import cut
 from .history import LEAST_FOR_TYPICAL, History, history
 
 SNAPSHOT = ["journey_ref", "operating_date", "polled_at", "poll_id"]
@@ -116,6 +117,7 @@ def path_typicals(calls: DataFrame, states: DataFrame, past: History) -> DataFra
     )
     mine = states.select(*[F.col(c).alias(f"_{c}") for c in SNAPSHOT], "current_order")
     ahead = edges.join(mine, [edges[c].eqNullSafe(mine[f"_{c}"]) for c in SNAPSHOT]).filter("order_no > current_order").select(*edges.columns, "current_order")
+    ahead = cut(ahead, "edges")
     known = closed_means(ahead, past.segments, ["line_ref", "direction", "stop_from", "stop_to"], "bucket", None, "typical", LEAST_FOR_TYPICAL)
     upto = trip.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = known.withColumn("typical_sum", F.sum("typical").over(upto)).withColumn("known", F.count("typical").over(upto))
@@ -171,7 +173,7 @@ def feature_rows(
     """
     past = past or history(calls)
     rows = _timed(replayable(calls, sample))
-    states = situation_counts(vehicle_states(rows), situations)
+    states = cut(situation_counts(cut(vehicle_states(rows), "states"), situations), "states")
     mine = states.select(*[F.col(c).alias(f"_{c}") if c in SNAPSHOT else F.col(c) for c in states.columns if c != "polled"])
     ahead = rows.filter((F.col("call_type") == "estimated") & (F.coalesce("call_cancelled", F.lit(0)) == 0))
     ahead = ahead.join(mine, [ahead[c].eqNullSafe(mine[f"_{c}"]) for c in SNAPSHOT]).drop(*[f"_{c}" for c in SNAPSHOT])
@@ -188,17 +190,20 @@ def feature_rows(
     dates = service_dates(rows).select(F.col("journey_ref").alias("_j"), F.col("operating_date").alias("_d"), "service_date")
     ahead = ahead.join(dates, (ahead["journey_ref"] == dates["_j"]) & ahead["operating_date"].eqNullSafe(dates["_d"]), "left").drop("_j", "_d")
 
-    ahead = ahead.withColumn("_hour", hour_floor(F.col("expected")))
-    forecasts = weather.select(instant("polled_at").alias("issued"), hour_floor(instant("forecast_time")).alias("_hour"), "air_temp", "precip_mm", "wind_mps")
-    ahead = as_of(ahead, forecasts, ["_hour"], "polled", "issued", ["air_temp", "precip_mm", "wind_mps"], ties=["air_temp", "precip_mm", "wind_mps"])
+    # every lookup below answers the distinct questions of this one table
+    ahead = ahead.withColumns({"_hour": hour_floor(F.col("expected")), "bucket": bucket_of(F.col("polled"), past.bucket_seconds)})
+    ahead = base = cut(ahead, "ahead")
+
+    values = ["air_temp", "precip_mm", "wind_mps"]
+    forecasts = weather.select(instant("polled_at").alias("issued"), hour_floor(instant("forecast_time")).alias("_hour"), *values)
+    ahead = joined(ahead, as_of(base.select("_hour", "polled").distinct(), forecasts, ["_hour"], "polled", "issued", values, ties=values), ["_hour", "polled"])
 
     paths = path_typicals(rows, states, past)
     paths = paths.select(*[F.col(c).alias(f"_{c}") for c in (*SNAPSHOT, "order_no")], "typical_sum")
     ahead = ahead.join(paths, [ahead[c].eqNullSafe(paths[f"_{c}"]) for c in (*SNAPSHOT, "order_no")], "left").drop(*[f"_{c}" for c in (*SNAPSHOT, "order_no")])
 
-    ahead = ahead.withColumn("bucket", bucket_of(F.col("polled"), past.bucket_seconds))
-    ahead = closed_means(ahead, past.stops, ["stop_ref"], "bucket", past.recent_buckets, "stop_recent_delay_sec")
-    ahead = closed_means(ahead, past.lines, ["line_ref", "direction"], "bucket", past.recent_buckets, "line_recent_delay_sec")
+    for series, keys, name in ((past.stops, ["stop_ref"], "stop_recent_delay_sec"), (past.lines, ["line_ref", "direction"], "line_recent_delay_sec")):
+        ahead = joined(ahead, closed_mean_table(base, series, keys, "bucket", past.recent_buckets, name), [*keys, "bucket"])
     if with_bunching:
         events = past.passed.select("line_ref", "direction", "stop_ref", "seen", "journey_ref", F.col("arrived").alias("ahead_pass"), F.col("delay").alias("delay_ahead_sec"))
         ahead = last_by_other(

@@ -7,13 +7,13 @@ delay, ts: poll time), ``orders`` and ``lineitem`` for journeys and their calls.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaylake.functions import temporal as fn
 from delaylake.operators import asof, evaluate, health, history, models, ordered, replay, serving
+from delaylake.operators.cut import cut, work_dir
 from delaylake.schemas import SITUATIONS, WEATHER
 from delaylake.streaming import jobs
 
@@ -400,8 +400,7 @@ def q27(spark, sf_dir):
 
 @query("q28_stream_buckets", "select event_type, cast(floor(epoch(ts) / 900) as bigint) as bucket, count(*) as n, round(sum(value), 4) as total from events group by all")
 def q28(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="delaylake-stream-")
-    root = f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
+    root = f"{work_dir(spark)}/stream-{os.urandom(8).hex()}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("at", F.timestamp_micros(micros(F.col("ts"))))
     rows = jobs.maintained_buckets(stream, ["event_type"], "at", "value", 900, f"{root}/out", f"{root}/checkpoint")
@@ -478,5 +477,5 @@ _REPLAY = f"""{_LINES}, p as (select l_orderkey, row_number() over (partition by
     f"""with {_REPLAY} select {_BAND} as band, count(*) as n, round(avg(label), 6) as timetable, round(avg(abs(label - cur)), 6) as naive, round(avg(abs(label - off)), 6) as official from r group by all""",
 )
 def q31(spark, sf_dir):
-    rows = replay.feature_rows(order_calls(spark, sf_dir), *_context(spark))
+    rows = replay.feature_rows(cut(order_calls(spark, sf_dir), "calls"), *_context(spark))
     return evaluate.horizon_report(rows).select("band", "n", *[F.round(c, 6).alias(c) for c in ("timetable", "naive", "official")])
