@@ -18,7 +18,8 @@ task, and the k best of each are merged per query.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, neither do rows without a vec_id or whose length is
 not the most frequent one. Ties go to the smaller vec_id. A query never returns
-rows of its own vec_id. An empty table gives an empty result.
+rows of its own vec_id. Of rows with one vec_id the one with the least vector
+counts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,6 +157,17 @@ def _usable(df: DataFrame) -> DataFrame:
     )
 
 
+def _once(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors; of rows with one vec_id (all are in one shard) the one with the least vector."""
+    ids, vectors = rows.vec_id.to_numpy(np.int64), np.stack(rows.v.to_list()).astype(np.float64)
+    if len(np.unique(ids)) < len(ids):
+        order = np.lexsort((*vectors.T[::-1], ids))
+        ids, vectors = ids[order], vectors[order]
+        first = np.concatenate([[True], np.diff(ids) != 0])
+        ids, vectors = ids[first], vectors[first]
+    return ids, vectors
+
+
 def nearest(
     vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, confidence: float = CONFIDENCE
 ) -> DataFrame:
@@ -181,10 +193,8 @@ def nearest(
         asks, rest = pdf[pdf.is_query], pdf[~pdf.is_query]
         if not len(asks) or not len(rest):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids_q = asks.vec_id.to_numpy(np.int64)
-        who, vec, score = search(
-            rest.vec_id.to_numpy(np.int64), np.stack(rest.v.to_list()).astype(np.float64), ids_q, np.stack(asks.v.to_list()).astype(np.float64), k, confidence=confidence
-        )
+        ids_q, queries = _once(asks)
+        who, vec, score = search(*_once(rest), ids_q, queries, k, confidence=confidence)
         return pd.DataFrame({"query_id": ids_q[who], "vec_id": vec, "score": score})
 
     part = rows.unionByName(asked).groupBy("shard", "block").applyInPandas(run, schema)
