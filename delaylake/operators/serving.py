@@ -34,11 +34,11 @@ def recent_polls(polls: DataFrame, minutes: int = RECENT_MINUTES, per_dataset: b
     """
     good = polls.filter("feed = 'et' and error is null").withColumn("at", instant("polled_at"))
     newest = F.max(F.when(F.col("n_calls") > 0, F.col("at")))
-    keys = ["dataset"] if per_dataset else []
+    keys = [F.col("dataset").alias("_dataset")] if per_dataset else []
     top = good.groupBy(*keys).agg(newest.alias("newest"))
-    on = good["dataset"].eqNullSafe(top["dataset"]) if per_dataset else F.lit(True)
+    on = F.col("dataset").eqNullSafe(F.col("_dataset")) if per_dataset else F.lit(True)
     near = F.unix_micros("at") > F.unix_micros("newest") - minutes * 60_000_000
-    return good.join(F.broadcast(top) if not per_dataset else top, on).filter((F.coalesce("n_calls", F.lit(1)) > 0) & near).select(*[good[c] for c in polls.columns])
+    return good.join(top, on).filter((F.coalesce("n_calls", F.lit(1)) > 0) & near).select(*polls.columns)
 
 
 def live_rows(calls: DataFrame, polls: DataFrame, weather: DataFrame, situations: DataFrame, past: History, minutes: int = RECENT_MINUTES) -> DataFrame:
