@@ -105,3 +105,20 @@ def pieces(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
         while start < n:
             yield batch.slice(start, step)
             start += step
+
+
+def bounded_sample(df: DataFrame, keys: list[str], limit: int, distinct: bool = False) -> DataFrame:
+    """At most ``limit`` rows, those with the least hash of ``keys``.
+
+    A bound on the hash, from the number of rows, thins the table where it is
+    read, so what is sorted, and what reaches the driver, does not grow with it.
+    Keys should tell rows apart; with ``distinct`` equal rows that pass the bound
+    are one.
+    """
+    n = df.count()
+    h = F.xxhash64(*keys)
+    if n > 2 * limit:
+        # half as many again as needed, and some for small limits
+        share = min(1.0, (1.5 * limit + 200) / n)
+        df = df.filter(h < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    return (df.distinct() if distinct else df).orderBy(h, *keys).limit(limit)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, ship, table, texts_of
+from .common import bounded_sample, ship, strings, table, texts_of
 from .trees import Forest
 
 DICTIONARY_DOCS = 2_000
@@ -241,8 +241,8 @@ class Scanner:
 
 def train(docs: DataFrame, limit: int = DICTIONARY_DOCS) -> Scanner:
     """The scanner, its language learned from at most ``limit`` documents (8192 signs of each)."""
-    chosen = texts_of(docs).filter("text != ''").select(F.substring("text", 1, 8192).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "text").limit(limit)
-    return Scanner.fit([r["text"] for r in chosen.select("text").collect()])
+    chosen = bounded_sample(texts_of(docs), ["doc_id", "text"], limit).select(F.substring("text", 1, 8192).alias("text"))
+    return Scanner.fit([r["text"] for r in chosen.collect()])
 
 
 def redact(text: str, found: list[tuple[int, int, float]], mark: str = REDACTED) -> str:
