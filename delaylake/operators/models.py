@@ -10,6 +10,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 CATEGORIES = ["line_ref", "direction", "stop_ref"]
 NUMBERS = [
     "order_no", "dow", "hour", "horizon_sec", "horizon_stops", "current_order", "n_recorded", "current_delay_sec", "delay_trend_sec", "sched_runtime_sec",
@@ -54,7 +56,8 @@ def vocabulary(rows: DataFrame, column: str) -> DataFrame:
     so no single task sorts everything.
     """
     values = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    parts = values.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
+    # written once: both uses below must see the same partitions
+    parts = cut(values.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "vocabulary")
     sizes = parts.groupBy("_part").count()
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
     inside = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("value")))
