@@ -240,13 +240,12 @@ class Decoder:
 
 
 def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") -> DataFrame:
-    """The rows of ``docs``, all columns, with the piece ids as array<int> in ``column``."""
+    """The rows of ``docs``, all columns, with the piece ids as array<int> in ``column`` (one of that name gives way)."""
+    docs = docs.drop(column)
     ship(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
     at = docs.columns.index("text")
     names = docs.columns + [column]
-    if column in docs.columns:
-        raise ValueError(f"documents already have a column {column}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)

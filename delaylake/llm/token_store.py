@@ -202,6 +202,19 @@ def _encode_chunks(path: str):
 _CHUNKS = "kind string, route long, doc_id long, uid long, seq int, digest binary, n int, payload binary"
 
 
+_DATA = "doc_id long, uid long, seq int, digest binary, n int, payload binary, kind string"
+_RECIPES = "part int, doc_id long, uid long, start long, n_tokens long, chunks array<binary>, root binary"
+_UNPLACED = "doc_id long, uid long, chunks array<binary>, n_tokens long, root binary, part int"
+
+
+def _data(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_DATA).parquet(f"{path}/data")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode ``docs`` (``doc_id, text``) into a store at ``path``, with the tokenizer file ``tokenizer``."""
     ship(docs.sparkSession)
@@ -212,7 +225,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     chunks = rows.mapInArrow(_encode_chunks(tokenizer), _CHUNKS)
     once = _unique_chunks(chunks)
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
-    refs = spark.read.parquet(f"{path}/data").filter("kind = 'ref'")
+    refs = _data(spark, path).filter("kind = 'ref'")
     recipes = (
         refs.groupBy("doc_id", "uid")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "n"))).alias("c"))
@@ -223,7 +236,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
         .withColumn("part", F.spark_partition_id())
     )
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes-unplaced")
-    placed = spark.read.parquet(f"{path}/recipes-unplaced")
+    placed = spark.read.schema(_UNPLACED).parquet(f"{path}/recipes-unplaced")
     inside = Window.partitionBy("part").orderBy("doc_id", "uid")
     parts = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).orderBy("part").collect()
     before, total = {}, 0
@@ -253,7 +266,7 @@ def _joined(column: str):
 
 def _part_roots(spark: SparkSession, path: str) -> dict[str, str]:
     """Merkle root of each recipe part: over its documents' roots, in blocks of neighbours."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     block = F.floor(F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "uid")) / 1024)
     blocks = recipes.select("part", "doc_id", "uid", "root", block.alias("block")).groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "uid", "root"))).alias("r"))
     blocks = blocks.select("part", "block", F.unhex(F.sha2(_joined_field("r", "root"), 256)).alias("root"))
@@ -346,8 +359,8 @@ def checked(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from verified files."""
     ship(spark)
     verify_manifest(spark, path)
-    facts = spark.read.parquet(f"{path}/data").filter("kind = 'chunk'").select("digest", "payload").mapInArrow(_facts, "digest binary, n long, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    facts = _data(spark, path).filter("kind = 'chunk'").select("digest", "payload").mapInArrow(_facts, "digest binary, n long, crc long")
+    recipes = _recipes(spark, path)
     steps = recipes.select("doc_id", "uid", "start", "n_tokens", F.posexplode("chunks").alias("pos", "digest"))
     return (
         steps.join(facts, "digest", "left")
@@ -360,8 +373,8 @@ def checked(spark: SparkSession, path: str) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, ids`` rebuilt from recipes and chunks."""
-    chunks = spark.read.parquet(f"{path}/data").filter("kind = 'chunk'").select("digest", "payload")
-    steps = spark.read.parquet(f"{path}/recipes").select("doc_id", "uid", "start", F.posexplode("chunks").alias("pos", "digest"))
+    chunks = _data(spark, path).filter("kind = 'chunk'").select("digest", "payload")
+    steps = _recipes(spark, path).select("doc_id", "uid", "start", F.posexplode("chunks").alias("pos", "digest"))
     joined = steps.join(chunks, "digest").groupBy("doc_id", "uid", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("c"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
