@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, ship, table, texts_of
+from .common import ship, strings, table, texts_of
 
 WINDOW = 13
 AUTOMATON_BYTES = 16 << 20
@@ -238,5 +238,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def _words_sql(source: str, key: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"select {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{pattern}') as ws from {source}"
+
+
+_SQL = f"""with d as ({_words_sql("documents", "doc_id")}), i as ({_words_sql("benchmark", "item_id")}),
+windows as (select distinct item_id, least(len(ws), {WINDOW}) as n, array_to_string(ws[k:k + least(len(ws), {WINDOW}) - 1], ' ') as win
+  from i, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) as t(k) where len(ws) > 0 and item_id is not null),
+sizes as (select distinct n from windows),
+places as (select doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') as win from d, sizes, unnest(range(1, greatest(len(ws) - n + 2, 1))) as t(k)),
+found as (select doc_id, k, n, item_id from places join windows using (win, n)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as digest from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(digest, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)"""
+
 QUERIES = {"op6_decontamination": op6_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_decontamination": _SQL}

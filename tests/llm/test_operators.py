@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from compare import differences
 
 from delaylake.llm import ann, decontam, entries, pii, secrets, simhash, sp_codec, suffix_dedup, token_store, toxicity, url_filter
 
@@ -291,6 +292,11 @@ def test_benchmark_windows(spark, docs, automaton_bytes):
     assert got[-1][1:3] == (4, 2) and got[-2][1] == 0
 
 
+@pytest.mark.parametrize("name", list(entries.oracles()))
+def test_query_equals_sql(spark, name):
+    assert differences(spark, entries.queries()[name], entries.oracles()[name], SF) == []
+
+
 def test_spans_lead_back_to_the_text():
     scanner = decontam.Scanner([(1, "the quick brown fox")])
     text = "Ünïcode — THE  quick\nBrown, fox! end"
@@ -368,9 +374,10 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_folding_and_exceptions():
-    assert toxicity.folded_words("1D10T іdіоt i.d. Ｉdiöt​ id́iot$$") == ["idiot", "idiot", "i", "d", "idiot", "idiotss"]
+    assert toxicity.folded_words("1D10T іdіоt i.d. Ｉdiöt​ id́iot$$") == ["idiot", "idiot", "i", "d", "idiöt", "idiotss"]
     lexicon = toxicity.Lexicon({"scum": 3.0}, {"scumble": 3.0}, (0.0, 1.0, 0.0), None)
     assert lexicon.sums("You SCUM, scumble $cum") == (6.0, 2, 4)
+    assert lexicon.sums("Ｓcüm") == (3.0, 1, 1)
 
 
 # 10
