@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table, texts_of
+from .common import bounded_sample, strings, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 64
 TRAIN_DOCS = 300
+#: So many times as many documents are drawn to find those with digits or ``@``.
+DRAWN = 20
 HIDDEN = 16
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -320,8 +322,8 @@ def training_windows(texts: list[str], made: int = 900) -> tuple[np.ndarray, np.
 
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> BiLstmCrf:
-    """Fit on at most ``limit`` documents (4096 signs around nothing in particular: their first base spans) and generated windows."""
-    chosen = texts_of(docs).filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(limit)
+    """Fit on windows around the first base spans of at most ``limit`` documents, and on generated windows."""
+    chosen = bounded_sample(texts_of(docs), ["doc_id", "text"], DRAWN * limit).filter(F.col("text").rlike("[0-9@]")).limit(limit)
     model = BiLstmCrf()
     model.fit(*training_windows([r["text"] for r in chosen.select("text").collect()]))
     return model
