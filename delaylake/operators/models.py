@@ -10,6 +10,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from delaylake.functions.temporal import ladder
+
 from .cut import cut
 
 CATEGORIES = ["line_ref", "direction", "stop_ref"]
@@ -114,7 +116,7 @@ def fit_point(train: DataFrame, features: list[str], rounds: int = 40, depth: in
     n = train.count()
     if n < least:
         raise ValueError(f"{n} rows are too few to fit")
-    words = {c: vocabulary(train, c).cache() for c in CATEGORIES if c in features}
+    words = {c: cut(vocabulary(train, c), "words") for c in CATEGORIES if c in features}
     gbt = GBTRegressor(featuresCol="_x", labelCol=LABEL, lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=20, seed=seed)
     model = gbt.fit(_matrix(train, features, words))
     shares = dict(zip(features, model.featureImportances.toArray().tolist()))
@@ -131,12 +133,13 @@ def fit_quantile(train: DataFrame, features: list[str], level: float, rounds: in
     MLlib has no quantile loss. Leaves are few (2 to the depth), their values come
     from one distributed aggregate per tree.
     """
-    words = {c: vocabulary(train, c).cache() for c in CATEGORIES if c in features}
+    words = {c: cut(vocabulary(train, c), "words") for c in CATEGORIES if c in features}
     base = train.select(F.percentile_approx(LABEL, level, 10_000)).first()[0]
     data = _matrix(train, features, words).select("_x", LABEL).withColumn("_f", F.lit(float(base)))
     stages, rates = [], []
     for r in range(rounds):
-        data = data.withColumn("_g", F.when(F.col(LABEL) > F.col("_f"), level).otherwise(level - 1.0)).persist()
+        # written each round: trees read it several times, and plans must not grow with the rounds
+        data = cut(data.withColumn("_g", F.when(F.col(LABEL) > F.col("_f"), level).otherwise(level - 1.0)), "boosting")
         tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=depth, minInstancesPerNode=20, leafCol="_leaf", seed=seed + r).fit(data)
         placed = tree.transform(data).drop("prediction")
         values = {x["_leaf"]: float(x["v"]) for x in placed.groupBy("_leaf").agg(F.percentile_approx(F.col(LABEL) - F.col("_f"), level, 1000).alias("v")).collect()}
@@ -150,6 +153,15 @@ def fit_quantiles(train: DataFrame, features: list[str], levels: list[float], **
     return {a: fit_quantile(train, features, a, **options) for a in levels}
 
 
+def with_ladder(rows: DataFrame, fitted: dict[float, Fitted], name: str = "ladder") -> DataFrame:
+    """``rows`` with the rising ladder of all fitted quantiles, as calibration reports read it."""
+    out, rungs = rows, []
+    for level in sorted(fitted):
+        rungs.append(f"_q{len(rungs)}")
+        out = fitted[level].predict(out, rungs[-1])
+    return out.withColumn(name, ladder(*[F.col(r) for r in rungs])).drop(*rungs)
+
+
 def predict_interval(rows: DataFrame, low: Fitted, high: Fitted) -> DataFrame:
     """``rows`` with ``pred_low_sec <= pred_high_sec``."""
     out = high.predict(low.predict(rows, "_low"), "_high")

@@ -246,6 +246,9 @@ def test_models(spark, rows, tmp_path):
     both = models.predict_interval(valid, low, high)
     covered = both.agg(evaluate.coverage(F.col("label_delay_sec"), F.col("pred_low_sec"), F.col("pred_high_sec")).alias("c"), F.avg((F.col("pred_low_sec") > F.col("pred_high_sec")).cast("int")).alias("x")).first()
     assert 0.65 < covered["c"] < 0.95 and covered["x"] == 0
+    rungs = models.with_ladder(valid, {0.9: high, 0.1: low})
+    assert rungs.filter("ladder[0] > ladder[1] or size(ladder) <> 2").count() == 0
+    assert evaluate.pit_histogram(rungs, "ladder", "label_delay_sec", [0.1, 0.9]).agg(F.sum("n")).first()[0] == valid.count()
 
 
 def test_vocabulary(spark, rows):
