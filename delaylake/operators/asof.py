@@ -92,31 +92,63 @@ def closed_means(probes: DataFrame, history: DataFrame, keys: list[str], bucket:
     return joined(probes, closed_mean_table(probes, history, keys, bucket, window, name, least), [*keys, bucket])
 
 
+def _with_other(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events (``_t, _o, _cur``) with ``_pair``: the event, and the last one before it of another owner."""
+    line = Window.partitionBy(*keys).orderBy("_t", "_o")
+    previous = F.lag("_cur").over(line)
+    changed = F.when(F.col("_prev").isNotNull() & ~F.col("_prev._owner").eqNullSafe(F.col("_cur._owner")), F.col("_prev"))
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("_prev", previous).withColumn("_pair", F.struct("_cur", F.last(changed, ignorenulls=True).over(upto).alias("_other"))).drop("_prev")
+
+
 def last_by_other(
-    probes: DataFrame, events: DataFrame, keys: list[str], probe_time: str, event_time: str, owner: str, order: list[str], values: list[str]
+    probes: DataFrame,
+    events: DataFrame,
+    keys: list[str],
+    probe_time: str,
+    event_time: str,
+    owner: str,
+    order: list[str],
+    values: list[str],
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """``probes`` with the ``values`` of the newest event at or before ``probe_time`` whose ``owner`` is another.
 
     Beside each event stands the last one of the run of another owner before it;
     a probe takes the newest event, or that other one if the newest is its own.
+    Each (key, time slice) is one window; of a slice the last event and the last
+    one of another owner are all that later slices can need.
     """
+    tick = slice_seconds * 1_000_000
     names = [f"_k{i}" for i in range(len(keys))]
     key_cols = [F.col(k).alias(n) for k, n in zip(keys, names)]
-    payload = F.struct(F.col(owner).alias("_owner"), *values)
-    ev = events.select(*key_cols, _micros(F.col(event_time)).alias("_t"), F.struct(*order).alias("_o"), payload.alias("_cur"))
-    line = Window.partitionBy(*names).orderBy("_t", "_o")
-    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous = F.lag("_cur").over(line)
-    ev = ev.withColumn("_prev", previous)
-    changed = F.when(F.col("_prev").isNotNull() & ~F.col("_prev._owner").eqNullSafe(F.col("_cur._owner")), F.col("_prev"))
-    ev = ev.withColumn("_other", F.last(changed, ignorenulls=True).over(upto)).withColumn("_pair", F.struct("_cur", "_other"))
-    left = probes.select(*key_cols, _micros(F.col(probe_time)).alias("_t"), F.struct(*probes.columns).alias("_row"))
-    all_ = ev.select(*names, "_t", "_o", "_pair", F.lit(0).alias("_probe")).unionByName(left.select(*names, "_t", "_row", F.lit(1).alias("_probe")), allowMissingColumns=True)
-    seen = Window.partitionBy(*names).orderBy("_t", "_probe", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = all_.withColumn("_got", F.last("_pair", ignorenulls=True).over(seen)).filter("_probe = 1")
-    mine = F.col(f"_row.{owner}").eqNullSafe(F.col("_got._cur._owner"))
-    pick = F.when(mine, F.col("_got._other")).otherwise(F.col("_got._cur"))
-    return got.select("_row.*", *[pick[v].alias(v) for v in values])
+    at, by = _micros(F.col(event_time)), F.struct(*order)
+    payload = F.struct(F.col(owner).alias("_owner"), *values, at.alias("_at"), by.alias("_by"))
+    ev = events.select(*key_cols, at.alias("_t"), by.alias("_o"), payload.alias("_cur")).filter("_t is not null").withColumn("_slice", F.floor(F.col("_t") / tick))
+    ev = _with_other(ev, [*names, "_slice"])
+    probed = _micros(F.col(probe_time))
+    left = probes.select(*key_cols, probed.alias("_t"), F.floor(probed / tick).alias("_slice"), F.struct(*probes.columns).alias("_row"))
+
+    all_ = ev.select(*names, "_slice", "_t", "_o", "_pair", F.lit(0).alias("_probe")).unionByName(
+        left.select(*names, "_slice", "_t", "_row", F.lit(1).alias("_probe")), allowMissingColumns=True
+    )
+    seen = Window.partitionBy(*names, "_slice").orderBy("_t", "_probe", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = all_.withColumn("_got", F.last("_pair", ignorenulls=True).over(seen)).filter("_probe = 1")
+
+    ends = ev.groupBy(*names, "_slice").agg(F.max_by("_pair", F.struct("_t", "_o")).alias("_p")).select(*names, "_slice", F.explode(F.array("_p._cur", "_p._other")).alias("_cur"))
+    ends = ends.filter("_cur is not null").select("*", F.col("_cur._at").alias("_t"), F.col("_cur._by").alias("_o"))
+    ends = _with_other(ends, names)
+    asked = left.select(*names, "_slice").distinct()
+    steps = ends.select(*names, "_slice", "_t", "_o", "_pair", F.lit(1).alias("_event")).unionByName(asked.withColumn("_event", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy(*names).orderBy("_slice", "_event", "_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = steps.withColumn("_carried", F.last("_pair", ignorenulls=True).over(before)).filter("_event = 0").select(*names, "_slice", "_carried")
+
+    same = [local[n].eqNullSafe(carried[n]) for n in names] + [local["_slice"].eqNullSafe(carried["_slice"])]
+    both = local.join(carried, same, "left")
+    me = F.col(f"_row.{owner}")
+    choice = lambda pair: F.when(me.eqNullSafe(F.col(f"{pair}._cur._owner")), F.col(f"{pair}._other")).otherwise(F.col(f"{pair}._cur"))
+    pick = F.coalesce(choice("_got"), choice("_carried"))
+    return both.select("_row.*", *[pick[v].alias(v) for v in values])
 
 
 def strictly_later(probes: DataFrame, facts: DataFrame, keys: list[str], probe_order: Column, fact_order: Column, values: list[str]) -> DataFrame:
@@ -157,18 +189,27 @@ def in_force(start: Column, end: Column, at: Column) -> Column:
     return (start.isNull() | (start <= at)) & (end.isNull() | (end >= at))
 
 
-def active_counts(probes: DataFrame, periods: DataFrame, keys: list[str], probe_time: str, start: str, end: str, name: str) -> DataFrame:
+def active_counts(
+    probes: DataFrame, periods: DataFrame, keys: list[str], probe_time: str, start: str, end: str, name: str, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
     """``probes`` with the number of periods of their key in force at ``probe_time``.
 
-    Starts minus ends before: two event streams and one running sum, no range join.
+    Starts minus ends before: two event streams and a running sum per time slice,
+    onto which the sum of earlier slices is added. No range join.
     """
+    tick = slice_seconds * 1_000_000
     names = [f"_k{i}" for i in range(len(keys))]
     key_cols = [F.col(k).alias(n) for k, n in zip(keys, names)]
     lowest = F.lit(-(1 << 62)).cast("long")
     opens = periods.select(*key_cols, F.coalesce(_micros(F.col(start)), lowest).alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_d"))
     closes = periods.filter(F.col(end).isNotNull()).select(*key_cols, _micros(F.col(end)).alias("_t"), F.lit(2).alias("_kind"), F.lit(-1).alias("_d"))
-    asked = probes.select(*key_cols, _micros(F.col(probe_time)).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).alias("_d"), F.struct(*probes.columns).alias("_row"))
-    steps = opens.unionByName(closes).groupBy(*names, "_t", "_kind").agg(F.sum("_d").alias("_d"))
-    all_ = steps.unionByName(asked, allowMissingColumns=True)
-    running = Window.partitionBy(*names).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return all_.withColumn(name, F.sum("_d").over(running)).filter("_kind = 1").select("_row.*", F.col(name).cast("long").alias(name))
+    place = F.floor(F.col("_t") / tick)
+    steps = opens.unionByName(closes).groupBy(*names, "_t", "_kind").agg(F.sum("_d").alias("_d")).withColumn("_slice", place)
+    asked = probes.select(*key_cols, _micros(F.col(probe_time)).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).alias("_d"), F.struct(*probes.columns).alias("_row")).withColumn("_slice", place)
+    running = Window.partitionBy(*names, "_slice").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = steps.unionByName(asked, allowMissingColumns=True).withColumn("_n", F.sum("_d").over(running)).filter("_kind = 1")
+    sums = steps.select(*names, "_slice", "_d").unionByName(asked.select(*names, "_slice", "_d").distinct()).groupBy(*names, "_slice").agg(F.sum("_d").alias("_d"))
+    earlier = Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_carried", F.sum("_d").over(earlier)).drop("_d")
+    same = [local[n].eqNullSafe(carried[n]) for n in names] + [local["_slice"].eqNullSafe(carried["_slice"])]
+    return local.join(carried, same, "left").select("_row.*", (F.col("_n") + F.coalesce("_carried", F.lit(0))).cast("long").alias(name))

@@ -38,7 +38,7 @@ def test_last_by_other(world, spark):
     facts, probes, f, p = world
     f2 = f.selectExpr("k", "ft", "cast(fid % 4 as string) as who", "fid")
     p2 = p.selectExpr("pid", "k", "pt", "cast(pid % 4 as string) as who")
-    got = {r.pid: r.fid for r in asof.last_by_other(p2, f2, ["k"], "pt", "ft", "who", ["fid"], ["fid"]).collect()}
+    got = {r.pid: r.fid for r in asof.last_by_other(p2, f2, ["k"], "pt", "ft", "who", ["fid"], ["fid"], slice_seconds=50_000).collect()}
     for i, k, t in probes:
         best = max(((ft, fid) for fk, ft, fid, _ in facts if fk == k and ft <= t and fid % 4 != i % 4), default=None)
         assert got[i] == (best[1] if best else None)
@@ -62,7 +62,7 @@ def test_active_counts(world, spark):
     periods = [("a", rng.choice([None, rng.randrange(400_000)]), rng.choice([None, rng.randrange(400_000)])) for _ in range(60)]
     periods = [(k, s, e) for k, s, e in periods if s is None or e is None or s <= e]
     q = spark.createDataFrame([(k, s if s is None else moment(s), e if e is None else moment(e)) for k, s, e in periods], "k string, s timestamp, e timestamp")
-    got = {r.pid: r.n for r in asof.active_counts(p.filter("k = 'a'"), q, ["k"], "pt", "s", "e", "n").collect()}
+    got = {r.pid: r.n for r in asof.active_counts(p.filter("k = 'a'"), q, ["k"], "pt", "s", "e", "n", slice_seconds=50_000).collect()}
     for i, k, t in probes:
         if k == "a":
             assert got[i] == sum((s is None or s <= t) and (e is None or e >= t) for _, s, e in periods)
