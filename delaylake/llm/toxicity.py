@@ -1,7 +1,8 @@
 """Operator 9: toxicity by a weighted lexicon.
 
-Texts are folded (case, accents, homoglyphs, digit substitutions), reduced to
-words, and matched against word beginnings by one Aho-Corasick automaton.
+Texts are folded (case, homoglyphs, digit substitutions, combining marks),
+reduced to words, and matched against word beginnings by one Aho-Corasick
+automaton; accented words are matched as they are and without their accents.
 Weights are log odds learned from labelled documents. Exception phrases, that is
 words or neighbouring pairs that hold a term and were seen only in clean
 documents, take the term's weight back. The sum is normalised by length, and a
@@ -12,8 +13,8 @@ most ``SAMPLE`` of them (those with the least hash): a bound that does not grow
 with the corpus. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no words and get the score of a text
-without matches; without labels of both kinds every score is the share of toxic
-labels (or 0); repeated labels of a document count as toxic if one of them is;
+without matches; without labels of both kinds nothing can be told apart and
+every score is 0.5 (only toxic ones) or 0; repeated labels of a document count as toxic if one of them is;
 labels with a null doc_id or null toxic, and columns besides, are not used; rows
 of documents that share a doc_id are scored each on its own text; a null doc_id
 is not held out.
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, strings, ship, table, texts_of
+from .common import bounded_sample, ship, stored, strings, table, texts_of
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -52,25 +53,41 @@ _LOOKALIKES = {
 
 
 class _Fold(dict):
-    """Code point to folded letter, a space for all that is no letter; filled as signs turn up."""
+    """Code point to folded letter, a space for all that is no letter; filled as signs turn up.
+
+    Accented letters stay as they are unless ``bare``: languages use them to tell
+    words apart.
+    """
+
+    def __init__(self, bare: bool = False):
+        super().__init__()
+        self.bare = bare
 
     def __missing__(self, point: int) -> str:
-        char = chr(point).lower()
-        base = unicodedata.normalize("NFKD", char)[:1].lower()
-        out = _LOOKALIKES.get(char) or _LOOKALIKES.get(base) or (base if base.isalpha() else " ")
+        char = unicodedata.normalize("NFKC", chr(point)).lower()[:1]
+        base = unicodedata.normalize("NFKD", char)[:1]
         if unicodedata.combining(chr(point)) or unicodedata.category(chr(point)) == "Cf":
             out = ""
+        elif base != char and base.isascii() and base.isalpha() and not self.bare:
+            out = char
+        else:
+            out = _LOOKALIKES.get(char) or _LOOKALIKES.get(base) or (base if base.isalpha() else " ")
         self[point] = out
         return out
 
 
-_FOLD = _Fold()
+_FOLD, _BARE = _Fold(), _Fold(bare=True)
 
 
 def folded_words(text: str) -> list[str]:
     return text.translate(_FOLD).split()
 
 
+def bared(words: list[str]) -> list[str]:
+    """The accented words without their accents, which may hide a term."""
+    return [w.translate(_BARE) for w in words if not w.isascii()]
+
+
 @dataclass
 class Lexicon:
     """Terms (word beginnings) and exceptions with their weights, and the logistic curve."""
@@ -101,9 +118,10 @@ class Lexicon:
         automaton = self.automaton()
         weight, hits = 0.0, 0
         if automaton is not None and words:
-            for _, (w, n) in automaton.iter(f" {' '.join(words)} "):
-                weight += w
-                hits += n
+            for line in (words, bared(words)):
+                for _, (w, n) in automaton.iter(f" {' '.join(line)} "):
+                    weight += w
+                    hits += n
         return max(0.0, weight), max(0, hits), len(words)
 
     def scores(self, sums: list[tuple[float, int, int]]) -> np.ndarray:
@@ -196,14 +214,13 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """The lexicon from at most ``sample`` labelled documents outside the held-out third."""
     doc_id = F.col("doc_id").cast("long")
-    chosen = (
+    usable = (
         labels.select(doc_id.alias("_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("_id").cast("string")) % 3 != 1))
         .groupBy("_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(sample)
     )
+    chosen = bounded_sample(usable, ["_id"], sample)
     rows = texts_of(docs)
     # at most `sample` pairs of numbers are broadcast; copies and most near copies of a text
     # (those with the same least shingle) are no further evidence
@@ -212,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     sizes = {bool(r["toxic"]): r["count"] for r in picked.groupBy("toxic").count().collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_neg:
-        return Lexicon(constant=1.0 if n_pos else 0.0)
+        return Lexicon(constant=0.5 if n_pos else 0.0)
     frequent = set(_counts(picked.filter("toxic != 0"), _beginnings, MIN_DOCS))
     counts = _counts(picked, lambda words: _beginnings(words) & frequent)
     terms = choose(counts, n_pos, n_neg)
