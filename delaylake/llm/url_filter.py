@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import bounded_sample, ship, table
 from .trees import Boosted
 
 #: (host, path, verdict)
@@ -135,9 +135,8 @@ def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    labelled = (
-        rows.filter("ruled is not null").select("url", "host", "path", F.col("ruled").alias("verdict")).distinct().orderBy(F.xxhash64("url"), "url").limit(sample)
-    )
+    ruled = rows.filter("ruled is not null").select("url", "host", "path", F.col("ruled").alias("verdict"))
+    labelled = bounded_sample(ruled, ["url"], sample, distinct=True)
     model = fit(labelled.toPandas())
 
     @F.pandas_udf("double")
