@@ -10,9 +10,10 @@ it are. A forest trained on labelled findings decides.
 
 Labelled findings are generated: keys in known formats, and what is mistaken for
 them (placeholders, checksums, identifiers, card numbers, paths, run-together
-words). The dictionary and the transition odds come from at most
-``DICTIONARY_DOCS`` documents (those with the least hash), a bound that does not
-grow with the corpus. Every text is scanned whole.
+words), between words of at most ``TRAIN_DOCS`` documents (those with the least
+hash), a bound that does not grow with the corpus. The dictionary (which parts of
+four letters words are made of) and the transition odds are counted over all
+texts; their size is fixed by the alphabet. Every text is scanned whole.
 
 Defined results: null and empty texts have no findings; overlapping candidates
 count once, the earliest and then longest one; rows of one doc_id are scanned
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship, strings, table, texts_of
+from .common import bounded_sample, pieces, ship, strings, table, texts_of
 from .trees import Forest
 
-DICTIONARY_DOCS = 2_000
+TRAIN_DOCS = 200
 THRESHOLD = 0.5
 REDACTED = "[secret]"
 
@@ -70,43 +71,83 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_ALPHABET = {c: i for i, c in enumerate(string.ascii_lowercase + string.digits + "_", 1)}
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.array([_ALPHABET.get(c, 0) for c in text.lower()], dtype=np.int64)
+#: Transitions run over letters of either case, digits and the underscore; 0 is any other byte.
+SIGNS = 38
+_SIGN = np.zeros(256, dtype=np.int32)
+_LETTER = np.zeros(256, dtype=np.int32)
+for _i, _c in enumerate(string.ascii_lowercase, 1):
+    for _x in (_c, _c.upper()):
+        _SIGN[ord(_x)] = _LETTER[ord(_x)] = _i
+for _i, _c in enumerate(string.digits + "_", 27):
+    _SIGN[ord(_c)] = _i
+PARTS = 27**4
+#: A part of four letters belongs to the dictionary from this share of all parts on.
+LEAST_SHARE = 1e-6
+
+
+def _raw(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+
+
+def _parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the four letters from each byte on, and whether these are four letters."""
+    x = _LETTER[data]
+    a, b, c, d = x[:-3], x[1:-2], x[2:-1], x[3:]
+    return ((a * 27 + b) * 27 + c) * 27 + d, (a > 0) & (b > 0) & (c > 0) & (d > 0)
+
+
+def counts_of(texts: list[str]) -> np.ndarray:
+    """Counts of all four-letter parts, then of all pairs of signs."""
+    out = np.zeros(PARTS + SIGNS * SIGNS, dtype=np.int64)
+    data = _raw("\n".join(texts))
+    if len(data) > 3:
+        part, whole = _parts(data)
+        out[:PARTS] = np.bincount(part[whole], minlength=PARTS)
+        sign = _SIGN[data]
+        out[PARTS:] = np.bincount(sign[:-1] * SIGNS + sign[1:], minlength=SIGNS * SIGNS)
+    return out
 
 
 @dataclass
 class Language:
-    """Character transition odds and the words' 4-letter parts, as a hashed bitmap."""
+    """Character transition odds and which four-letter parts the dictionary knows."""
 
     odds: np.ndarray
-    parts: frozenset[str]
+    known: np.ndarray
 
     @classmethod
-    def learn(cls, texts: list[str]) -> Language:
-        size = len(_ALPHABET) + 1
-        counts = np.full((size, size), 0.5)
-        seen: dict[str, int] = {}
-        for text in texts:
-            for w in re.findall(r"[^\W\d_]{3,}", text.lower()):
-                seen[w] = seen.get(w, 0) + 1
-        for w, n in seen.items():
-            c = _codes(f" {w} ")
-            np.add.at(counts, (c[:-1], c[1:]), n)
-        odds = np.log(counts / counts.sum(axis=1, keepdims=True)) + np.log(size)
-        parts = frozenset(w[i : i + 4] for w, n in seen.items() if n > 1 for i in range(len(w) - 3))
-        return cls(odds, parts)
+    def of(cls, counts: np.ndarray) -> Language:
+        pairs = counts[PARTS:].reshape(SIGNS, SIGNS) + 0.5
+        odds = np.log(pairs / pairs.sum(axis=1, keepdims=True)) + np.log(SIGNS)
+        parts = counts[:PARTS]
+        return cls(odds, parts >= max(2.0, LEAST_SHARE * parts.sum()))
 
     def transition(self, s: str) -> float:
-        c = _codes(s)
+        c = _SIGN[_raw(s)]
         return float(self.odds[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
 
     def coverage(self, s: str) -> float:
-        low = s.lower()
-        grams = [low[i : i + 4] for i in range(len(low) - 3)]
-        return sum(g in self.parts for g in grams) / len(grams) if grams else 0.0
+        data = _raw(s)
+        if len(data) < 4:
+            return 0.0
+        part, whole = _parts(data)
+        return float((self.known[part] & whole).mean())
+
+
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """:func:`counts_of` over all texts: every task sends its non-zero cells, whose number has a bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PARTS + SIGNS * SIGNS, dtype=np.int64)
+        for batch in pieces(batches, 2 << 20):
+            total += counts_of(strings(batch.column(0)))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+
+    summed = texts_of(docs).select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(PARTS + SIGNS * SIGNS, dtype=np.int64)
+    out[summed.cell.to_numpy(np.int64)] = summed.n.to_numpy(np.int64)
+    return out
 
 
 def _luhn(digits: str) -> bool:
@@ -221,8 +262,9 @@ class Scanner:
     forest: Forest
 
     @classmethod
-    def fit(cls, texts: list[str]) -> Scanner:
-        lang = Language.learn(texts)
+    def fit(cls, texts: list[str], counts: np.ndarray | None = None) -> Scanner:
+        """From words of ``texts`` for the labelled findings, and the corpus's counts (by default those of ``texts``)."""
+        lang = Language.of(counts_of(texts) if counts is None else counts)
         rows = labelled_findings(texts)
         x = np.array([features(t, a, b, lang) for t, a, b, _ in rows])
         return cls(lang, Forest.fit(x, np.array([y for *_, y in rows], dtype=float)))
@@ -239,10 +281,10 @@ class Scanner:
         return out
 
 
-def train(docs: DataFrame, limit: int = DICTIONARY_DOCS) -> Scanner:
-    """The scanner, its language learned from at most ``limit`` documents (8192 signs of each)."""
-    chosen = bounded_sample(texts_of(docs), ["doc_id", "text"], limit).select(F.substring("text", 1, 8192).alias("text"))
-    return Scanner.fit([r["text"] for r in chosen.collect()])
+def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Scanner:
+    """The scanner: counts over all of ``docs``, labelled findings between words of at most ``limit`` of them."""
+    chosen = bounded_sample(texts_of(docs), ["doc_id", "text"], limit).select("text")
+    return Scanner.fit([r["text"] for r in chosen.collect()], corpus_counts(docs))
 
 
 def redact(text: str, found: list[tuple[int, int, float]], mark: str = REDACTED) -> str:
