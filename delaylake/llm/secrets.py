@@ -16,7 +16,7 @@ four letters words are made of) and the transition odds are counted over all
 texts; their size is fixed by the alphabet. Every text is scanned whole.
 
 Defined results: null and empty texts have no findings; overlapping candidates
-count once, the earliest and then longest one; rows of one doc_id are scanned
+count once, as their union; rows of one doc_id are scanned
 each on its own; other columns are left alone; an empty table gives an empty
 result, and an empty corpus an empty dictionary.
 """
@@ -42,7 +42,7 @@ REDACTED = "[secret]"
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret)"
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----")
-NAMED = re.compile(r"(?i:" + _NAME + r")[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*[\"']?([^\s\"'`,;<>(){}\[\]]{6,200})")
+NAMED = re.compile(r"(?i:" + _NAME + r")[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*[\"']?([^\s\"'`,;<>(){}\[\]]{6,})")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BEFORE = re.compile(r"(?i)(" + _NAME + r")[\"']?[ \t]*(?:=>|:=|=|:)?[ \t]*[\"']?$")
 _KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|npm_|SG\.|hf_)")
@@ -65,8 +65,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
         elif _BEFORE.search(text, max(0, m.start() - 30), m.start()):
             found.append(m.span())
     out: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not out or a >= out[-1][1]:
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
             out.append((a, b))
     return out
 
