@@ -112,13 +112,20 @@ def bounded_sample(df: DataFrame, keys: list[str], limit: int, distinct: bool =
 
     A bound on the hash, from the number of rows, thins the table where it is
     read, so what is sorted, and what reaches the driver, does not grow with it.
-    Keys should tell rows apart; with ``distinct`` equal rows that pass the bound
-    are one.
+    Keys should tell rows apart. With ``distinct`` equal rows are one, the bound
+    comes from the (approximate) number of distinct keys, and rows are taken
+    without it where fewer than ``limit`` pass: the sample is always full.
     """
-    n = df.count()
     h = F.xxhash64(*keys)
-    if n > 2 * limit:
-        # half as many again as needed, and some for small limits
-        share = min(1.0, (1.5 * limit + 200) / n)
-        df = df.filter(h < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
-    return (df.distinct() if distinct else df).orderBy(h, *keys).limit(limit)
+    n = df.agg(F.approx_count_distinct(h)).first()[0] if distinct else df.count()
+    rows = df.distinct() if distinct else df
+    # half as many again as needed, and some for small limits
+    share = (1.5 * limit + 200) / max(n, 1)
+    if n > 2 * limit and share < 1:
+        thin = df.filter(h < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+        if not distinct:
+            rows = thin
+        else:
+            thin = stored(thin.distinct(), "sample")
+            rows = thin if thin.count() >= limit else rows
+    return rows.orderBy(h, *keys).limit(limit)

@@ -13,8 +13,10 @@ import pyarrow as pa
 import pytest
 import xxhash
 from compare import differences
+from pyspark.sql import functions as F
 
 from delaylake.llm import ann, decontam, entries, pii, secrets, simhash, sp_codec, suffix_dedup, token_store, toxicity, url_filter
+from delaylake.llm.common import bounded_sample
 
 SF = "/root/testdata/sf0.001"
 
@@ -338,6 +340,19 @@ def test_url_model_on_held_out_urls(spark):
     assert (said[block].mean() + (~said[~block]).mean()) / 2 > 0.65
 
 
+def test_repeated_urls_leave_the_sample_full(spark):
+    urls = spark.range(100).selectExpr("concat('http://a', id, '.com/') as url")
+    many = urls.crossJoin(spark.range(300)).select("url")
+    for limit in (20, 60, 200):
+        got = sorted(r.url for r in bounded_sample(many, ["url"], limit, distinct=True).collect())
+        assert got == sorted(r.url for r in urls.orderBy(F.xxhash64("url"), "url").limit(limit).collect())
+    model = "concat('http://h', id % 7, if(id % 2 = 0, '.net/fr/', '.com/'), id % 10) as url"
+    pages = spark.range(50_000).selectExpr("id as page_id", model).unionByName(spark.range(5).selectExpr("-id - 1 as page_id", "concat('http://x.net/', id) as url"))
+    once = pages.dropDuplicates(["url"])
+    judge = lambda df: {r.page_id: r.score for r in url_filter.judged(df, sample=60).filter("page_id < 0").collect()}
+    assert judge(pages) == judge(once)
+
+
 # 8
 
 
