@@ -8,6 +8,10 @@ coordinates in double precision. A query stops as soon as the chi-square test
 says that a vector nearer than its present k-th would, with probability
 ``confidence``, already have been seen.
 
+Equal vectors of a shard are one row of the search, with all their ids; where more
+rows than are kept lie at the k-th score, up to rounding, they are cut by exact
+score and least vec_id.
+
 Largest inner product is turned into nearest distance by the usual extra
 coordinate ``sqrt(M^2 - |x|^2)``, M being the largest norm of the shard.
 
@@ -99,17 +103,21 @@ def search(
     confidence: float = CONFIDENCE,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best ``k`` rows of one shard for each query: arrays of query position, vec_id and score."""
-    n, width = vectors.shape
+    vectors, ids, starts, copies = _grouped(ids, vectors)
+    width = vectors.shape[1]
+    least = ids[starts]
     norms = np.einsum("ij,ij->i", vectors, vectors)
     top = norms.max()
     lifted = np.hstack([vectors, np.sqrt(np.maximum(top - norms, 0.0))[:, None]])
     basis = _unit_columns(width + 1, dims)
     tree = KdTree(lifted @ basis)
-    vectors, ids = vectors[tree.order], ids[tree.order]
+    vectors, least, starts, copies = (x[tree.order] for x in (vectors, least, starts, copies))
     boxes = tree.distances(np.hstack([queries, np.zeros((len(queries), 1))]) @ basis)
     ranking = np.argsort(boxes, axis=1, kind="stable")
     q_norm = np.einsum("ij,ij->i", queries, queries)
     keep = k + SLACK
+    # no product of a query with a row is further than half of this from its exact score
+    rounding = 4 * width * np.finfo(np.float64).eps * np.sqrt(q_norm * top)
     best = np.full((len(queries), keep), -np.inf)
     rows = np.full((len(queries), keep), -1, dtype=np.int64)
     active = np.arange(len(queries))
@@ -129,11 +137,16 @@ def search(
             who, slot = group // steps, group % steps
             a, b = tree.bounds[now[who[0], slot[0]]]
             found = queries[active[who]] @ vectors[a:b].T
-            found[ids[a:b][None, :] == query_ids[active[who]][:, None]] = -np.inf
+            found[(copies[a:b] == 1) & (least[a:b] == query_ids[active[who]][:, None])] = -np.inf
             cols = keep + slot[:, None] * widest + np.arange(b - a)
             scores[who[:, None], cols] = found
             places[who[:, None], cols] = np.arange(a, b)
         pick = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+        cut = -np.partition(-np.take_along_axis(scores, pick, 1), k - 1, axis=1)[:, k - 1] - rounding[active]
+        for i in np.flatnonzero(np.isfinite(cut) & ((scores >= cut[:, None]).sum(axis=1) > keep)):
+            near = np.flatnonzero(scores[i] >= cut[i])
+            at = places[i, near]
+            pick[i] = near[np.lexsort((least[at], -_exact(queries[active[i]], vectors[at])))[:keep]]
         best[active] = np.take_along_axis(scores, pick, 1)
         rows[active] = np.take_along_axis(places, pick, 1)
         done += steps
@@ -145,8 +158,29 @@ def search(
             active = active[seen < confidence]
     who, col = np.nonzero(np.isfinite(best))
     at = rows[who, col]
-    exact = (queries[who] * vectors[at]).sum(axis=1)
-    return who, ids[at], exact
+    score = _exact(queries[who], vectors[at])
+    # of each group the k least ids but the query's own can be among the best
+    sizes = np.minimum(copies[at], k + 1)
+    offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    who, score, found = np.repeat(who, sizes), np.repeat(score, sizes), ids[np.repeat(starts[at], sizes) + offset]
+    other = found != query_ids[who]
+    who, score, found = who[other], score[other], found[other]
+    order = np.lexsort((found, -score, who))
+    who, score, found = who[order], score[order], found[order]
+    nth = np.arange(len(who)) - np.searchsorted(who, who)
+    return who[nth < k], found[nth < k], score[nth < k]
+
+
+def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return (queries * vectors).sum(axis=1)
+
+
+def _grouped(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different vectors, all ids by vector and then size, and of each vector where its ids start and how many they are."""
+    # adding zero makes -0.0 and 0.0 equal
+    whole = np.ascontiguousarray(vectors + 0.0)
+    _, first, group, copies = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    return whole[first], ids[np.lexsort((ids, group))], np.cumsum(copies) - copies, copies
 
 
 def _usable(df: DataFrame) -> DataFrame:

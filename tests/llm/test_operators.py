@@ -117,6 +117,29 @@ def test_largest_inner_product_of_uneven_vectors(spark):
     assert np.mean([len(got[q] & {v for v, _ in truth[q]}) / 5 for q in truth]) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_many_ties_go_to_the_smaller_ids(spark, copies):
+    rng = np.random.default_rng(8)
+    n = 3000
+    if copies:
+        # three vectors in a thousand copies each, and some others
+        vectors = np.vstack([rng.standard_normal((3, 16)) + 2, rng.standard_normal((200, 16)) * 0.1])[np.where(np.arange(n) < 2800, np.arange(n) % 3, rng.integers(3, 203, n))]
+    else:
+        # all different, all with the same product
+        vectors = np.hstack([np.full((n, 1), 3.0), np.zeros((n, 1)), rng.standard_normal((n, 14))])
+        vectors[::20, 2:] = 0
+        vectors[::20, 1] = rng.permutation(150)
+    ids = rng.permutation(n)
+    if not copies:
+        ids[::20], ids[np.arange(n) % 20 != 0] = np.arange(150) * 20, rng.permutation(np.setdiff1d(np.arange(n), np.arange(150) * 20))
+    true = ann.brute(ids, vectors, 20, 20)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, shard_rows=1000, confidence=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == true
+
+
 def test_chi_square():
     assert abs(ann.chi2_cdf(np.array([7.344]), 8)[0] - 0.5) < 1e-3
     assert abs(ann.chi2_cdf(np.array([15.507]), 8)[0] - 0.95) < 1e-3
