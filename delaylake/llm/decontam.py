@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, strings, table, texts_of
+from .common import ship, stored, strings, table, texts_of
 
 WINDOW = 13
 AUTOMATON_BYTES = 16 << 20
@@ -184,7 +184,8 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                 [pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["name", "key", "at", "words"]
             )
 
-    keyed = texts_of(docs).select(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256).alias("key"), "doc_id", "text")
+    # what is found in a row depends on its text alone
+    keyed = texts_of(docs).select(F.sha2("text", 256).alias("key"), "doc_id", "text")
     found = (
         keyed.mapInArrow(doc_windows, "name long, key string, at long, words binary")
         .join(known, ["name", "words"])
@@ -212,12 +213,16 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     return keyed.join(found, "key", "left").select("doc_id", "text", "places", "items").mapInArrow(finish, SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated (judged on the row's own text)."""
-    shared = load(benchmark)
+    shared = load(benchmark, automaton_bytes)
     if shared is None:
-        bad = matches(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-        return docs.join(bad, docs["doc_id"].cast("long") == bad["_id"], "left_anti")
+        # each text once, under a written number: doc_ids may be null or shared
+        text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+        texts = stored(docs.select(text.alias("text")).distinct().withColumn("doc_id", F.monotonically_increasing_id()), "texts")
+        found = matches(texts, benchmark, window, automaton_bytes).filter("contaminated").select("doc_id")
+        bad = texts.join(found, "doc_id").select(F.sha2("text", 256).alias("_key"))
+        return docs.join(bad, F.sha2(text, 256) == bad["_key"], "left_anti")
     ship(docs.sparkSession)
     at = docs.columns.index("text")
 

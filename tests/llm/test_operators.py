@@ -317,6 +317,21 @@ def test_benchmark_windows(spark, docs, automaton_bytes):
     assert got[-1][1:3] == (4, 2) and got[-2][1] == 0
 
 
+@pytest.mark.parametrize("automaton_bytes", [decontam.AUTOMATON_BYTES, 0])
+def test_rows_are_cleaned_one_by_one(spark, automaton_bytes):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bad, good = f"so {item} it is", "nothing of the kind"
+    rows = [(1, bad, "a"), (1, good, "b"), (None, bad, "c"), (None, good, "d"), (2, None, "e"), (None, None, "f"), (3, good, "g"), (3, good, "g"), (None, f"1:{item}", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.clean(df, bench, automaton_bytes=automaton_bytes)
+    assert kept.columns == df.columns
+    assert sorted(r._key for r in kept.collect()) == ["b", "d", "e", "f", "g", "g"]
+    # a null doc_id is not another row's key
+    both = spark.createDataFrame([(1, item), (None, f"1:{item}")], "doc_id long, text string")
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in decontam.matches(both, bench, automaton_bytes=automaton_bytes).collect()} == {1: [(0, len(item))], None: [(2, 2 + len(item))]}
+
+
 @pytest.mark.parametrize("name", list(entries.oracles()))
 def test_query_equals_sql(spark, name):
     assert differences(spark, entries.queries()[name], entries.oracles()[name], SF) == []
