@@ -34,3 +34,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def uncut(df: DataFrame) -> None:
+    """Delete the files of a frame that :func:`cut` returned and nobody reads again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, folder)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from delaylake.functions.temporal import ladder
 
-from .cut import cut
+from .cut import cut, uncut, work_dir
 
 CATEGORIES = ["line_ref", "direction", "stop_ref"]
 NUMBERS = [
@@ -23,6 +23,13 @@ PARKED = ["fc_air_temp", "fc_precip_mm", "fc_wind_mps", "sx_line_active", "sx_ne
 OFFICIAL = "entur_pred_delay_sec"
 LABEL = "label_delay_sec"
 LEAST_ROWS = 1000
+#: Most trees of a fit; the validation rows decide how many of them there are.
+ROUNDS = 2000
+PATIENCE = 100
+#: Stop and line codes are numbers to a tree: with few bins neighbours in the alphabet cannot be told apart.
+BINS = 256
+#: Scoring writes its rows after so many trees, as plans must not grow with their number.
+TREES_A_PLAN = 50
 
 
 def feature_names(exclude: tuple[str, ...] = (), parked: bool = False, official: bool = False) -> list[str]:
@@ -89,12 +96,14 @@ class Fitted:
 
     def predict(self, rows: DataFrame, name: str = "model_pred_delay_sec") -> DataFrame:
         out = self.matrix(rows)
-        if not self.rates:
+        if self.stages and not self.rates:
             return self.stages[0].transform(out).withColumnRenamed("prediction", name).drop("_x")
         out = out.withColumn(name, F.lit(self.base))
         for tree, (model, values) in enumerate(self.stages):
             out = model.transform(out).drop("prediction")
             out = out.withColumn(name, F.col(name) + _leaf_value(F.col("_leaf"), values) * self.rates[tree]).drop("_leaf")
+            if tree % TREES_A_PLAN == TREES_A_PLAN - 1:
+                out = cut(out, "scored")
         return out.drop("_x")
 
 
@@ -111,14 +120,27 @@ def _matrix(rows: DataFrame, features: list[str], words: dict[str, DataFrame]) -
     return VectorAssembler(inputCols=columns, outputCol="_x").transform(out).drop(*columns)
 
 
-def fit_point(train: DataFrame, features: list[str], rounds: int = 40, depth: int = 6, rate: float = 0.1, least: int = LEAST_ROWS, seed: int = 7) -> Fitted:
-    """Boosted trees on the absolute error."""
+def _both(train: DataFrame, valid: DataFrame | None, features: list[str], words: dict[str, DataFrame]) -> DataFrame:
+    """``_x``, label and ``_valid`` of the rows to fit on and of those that only tell when to stop."""
+    rows = _matrix(train, features, words).select("_x", LABEL, F.lit(False).alias("_valid"))
+    return rows if valid is None else rows.unionByName(_matrix(valid, features, words).select("_x", LABEL, F.lit(True).alias("_valid")))
+
+
+def fit_point(
+    train: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = 6, rate: float = 0.1, least: int = LEAST_ROWS, seed: int = 7, valid: DataFrame | None = None
+) -> Fitted:
+    """Boosted trees on the absolute error, up to the first round that makes the error on ``valid`` larger."""
     n = train.count()
     if n < least:
         raise ValueError(f"{n} rows are too few to fit")
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # lineages of many rounds are cut there
+        context.setCheckpointDir(work_dir(train.sparkSession))
     words = {c: cut(vocabulary(train, c), "words") for c in CATEGORIES if c in features}
-    gbt = GBTRegressor(featuresCol="_x", labelCol=LABEL, lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=20, seed=seed)
-    model = gbt.fit(_matrix(train, features, words))
+    stop = {} if valid is None else {"validationIndicatorCol": "_valid", "validationTol": 0.0}
+    gbt = GBTRegressor(featuresCol="_x", labelCol=LABEL, lossType="absolute", maxIter=rounds, maxDepth=depth, maxBins=BINS, stepSize=rate, minInstancesPerNode=20, seed=seed, **stop)
+    model = gbt.fit(_both(train, valid, features, words))
     shares = dict(zip(features, model.featureImportances.toArray().tolist()))
     return Fitted(features, words, [model], importances=shares)
 
@@ -127,26 +149,44 @@ def _leaf_value(leaf: Column, values: dict[float, float]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(float(x)) for kv in values.items() for x in kv]), leaf), F.lit(0.0))
 
 
-def fit_quantile(train: DataFrame, features: list[str], level: float, rounds: int = 10, depth: int = 4, rate: float = 0.3, seed: int = 7) -> Fitted:
+def fit_quantile(
+    train: DataFrame, features: list[str], level: float, rounds: int = ROUNDS, depth: int = 6, rate: float = 0.02, seed: int = 7, valid: DataFrame | None = None, patience: int = PATIENCE
+) -> Fitted:
     """Boosted trees on the pinball loss: each tree fits the loss's sign, each leaf takes its residuals' quantile.
 
     MLlib has no quantile loss. Leaves are few (2 to the depth), their values come
-    from one distributed aggregate per tree.
+    from one distributed aggregate per tree. With ``valid`` fitting stops after
+    ``patience`` rounds without a smaller loss on these rows, and the trees up to
+    the smallest loss are kept.
     """
     words = {c: cut(vocabulary(train, c), "words") for c in CATEGORIES if c in features}
     base = train.select(F.percentile_approx(LABEL, level, 10_000)).first()[0]
-    data = _matrix(train, features, words).select("_x", LABEL).withColumn("_f", F.lit(float(base)))
-    stages, rates = [], []
-    for r in range(rounds):
+    rest = F.col(LABEL) - F.col("_f")
+    data, last = _both(train, valid, features, words).withColumn("_f", F.lit(float(base))), None
+    stages, best, least = [], 0, None
+    for r in range(rounds + 1):
         # written each round: trees read it several times, and plans must not grow with the rounds
         data = cut(data.withColumn("_g", F.when(F.col(LABEL) > F.col("_f"), level).otherwise(level - 1.0)), "boosting")
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=depth, minInstancesPerNode=20, leafCol="_leaf", seed=seed + r).fit(data)
+        if last is not None:
+            uncut(last)
+        last = data
+        if valid is not None:
+            loss = data.filter("_valid").agg(F.avg(F.greatest(rest * level, rest * (level - 1.0)))).first()[0]
+            if loss is not None and (least is None or loss < least):
+                best, least = r, loss
+            elif loss is not None and r - best >= patience:
+                break
+        if r == rounds:
+            break
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=depth, maxBins=BINS, minInstancesPerNode=20, leafCol="_leaf", seed=seed + r).fit(data.filter("not _valid"))
         placed = tree.transform(data).drop("prediction")
-        values = {x["_leaf"]: float(x["v"]) for x in placed.groupBy("_leaf").agg(F.percentile_approx(F.col(LABEL) - F.col("_f"), level, 1000).alias("v")).collect()}
-        data = placed.withColumn("_f", F.col("_f") + _leaf_value(F.col("_leaf"), values) * rate).select("_x", LABEL, "_f")
+        values = {x["_leaf"]: float(x["v"]) for x in placed.filter("not _valid").groupBy("_leaf").agg(F.percentile_approx(rest, level, 1000).alias("v")).collect()}
+        data = placed.withColumn("_f", F.col("_f") + _leaf_value(F.col("_leaf"), values) * rate).select("_x", LABEL, "_valid", "_f")
         stages.append((tree, values))
-        rates.append(rate)
-    return Fitted(features, words, stages, float(base), rates)
+    uncut(last)
+    if least is not None:
+        stages = stages[:best]
+    return Fitted(features, words, stages, float(base), [rate] * len(stages))
 
 
 def fit_quantiles(train: DataFrame, features: list[str], levels: list[float], **options) -> dict[float, Fitted]:

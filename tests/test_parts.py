@@ -251,6 +251,23 @@ def test_models(spark, rows, tmp_path):
     assert evaluate.pit_histogram(rungs, "ladder", "label_delay_sec", [0.1, 0.9]).agg(F.sum("n")).first()[0] == valid.count()
 
 
+def test_fits_stop_by_the_validation_rows(spark, rows, monkeypatch):
+    split = models.day_split(rows, 1)
+    train, valid = split.filter("not is_valid"), split.filter("is_valid")
+    label = F.col("label_delay_sec")
+    fitted = models.fit_point(train, ["line_ref", "current_delay_sec"], rounds=60, depth=3, rate=1.0, valid=valid)
+    assert 1 <= fitted.stages[0].getNumTrees < 60
+    # far too large steps: the first trees help, later ones do not
+    fitted = models.fit_quantile(train, ["line_ref", "current_delay_sec"], 0.5, rounds=40, depth=3, rate=1.5, valid=valid, patience=3)
+    assert 1 <= len(fitted.stages) < 37
+    loss = lambda f: f.predict(valid, "p").agg(F.avg(F.abs(label - F.col("p")))).first()[0]
+    kept = loss(fitted)
+    others = [loss(models.Fitted(fitted.features, fitted.vocabularies, fitted.stages[:k], fitted.base, fitted.rates[:k])) for k in range(len(fitted.stages))]
+    assert all(kept < x for x in others)
+    monkeypatch.setattr(models, "TREES_A_PLAN", 1)
+    assert abs(loss(fitted) - kept) < 1e-9
+
+
 def test_vocabulary(spark, rows):
     words = models.vocabulary(rows, "stop_ref")
     assert [(r.value, r.code) for r in words.orderBy("code").collect()] == [(v, k + 1) for k, v in enumerate(sorted(f"Q{i}" for i in range(11)))]
