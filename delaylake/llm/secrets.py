@@ -161,7 +161,7 @@ def _luhn(digits: str) -> bool:
 
 
 def features(text: str, a: int, b: int, lang: Language) -> tuple[float, ...]:
-    s = text[a : min(b, a + 400)]
+    s = text[a:b]
     n = len(s)
     before, after = text[max(0, a - 40) : a], text[b : b + 20]
     counts = np.unique(list(s), return_counts=True)[1] / n

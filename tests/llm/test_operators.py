@@ -469,6 +469,14 @@ def test_long_and_overlapping_secrets_are_whole(docs):
     assert secrets.candidates(text) == [(7, 11 + len(block))]
 
 
+def test_features_are_of_the_whole_candidate():
+    lang = secrets.Language.of(secrets.counts_of(["some words of a text"]))
+    short, long = "a/b" * 140, "a/b" * 140 + "X9" * 200
+    one, two = (secrets.features(t, 0, len(t), lang) for t in (short, long))
+    assert two[4:6] == (200 / 820, 200 / 820) and one[4:6] == (0, 0)
+    assert one[15] == 140 and two[1] > one[1]
+
+
 # pipeline
 
 
