@@ -38,8 +38,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
-    return sp_codec.encoded(docs)
+    """The documents with the ids of their pieces, from which each text was decoded again."""
+    return sp_codec.encoded(docs, checked=True)
 
 
 STAGES = [

@@ -239,8 +239,12 @@ class Decoder:
         return "".join(out)[1:]
 
 
-def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") -> DataFrame:
-    """The rows of ``docs``, all columns, with the piece ids as array<int> in ``column`` (one of that name gives way)."""
+def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces", checked: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, with the piece ids as array<int> in ``column`` (one of that name gives way).
+
+    With ``checked`` each text is decoded again, and one that does not come back is an
+    error. The mark itself is a space to the vocabulary and comes back as one.
+    """
     docs = docs.drop(column)
     ship(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
@@ -248,10 +252,15 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") ->
     names = docs.columns + [column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder, decoder = Encoder(vocabulary.value), Decoder(vocabulary.value)
         for batch in text_pieces(batches, 8 << 20):
-            ids, ends = encoder.batch(pc.fill_null(batch.column(at).cast(pa.string()), ""))
+            texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            ids, ends = encoder.batch(texts)
             offsets = np.concatenate([[0], ends]).astype(np.int32)
+            if checked:
+                for text, lo, hi in zip(texts.to_pylist(), offsets.tolist(), ends.tolist()):
+                    if decoder.text(ids[lo:hi]) != text.replace(MARK, " "):
+                        raise ValueError(f"a text does not come back from its pieces: {text[:80]!r}")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names)
 

@@ -495,3 +495,19 @@ def test_pipeline_stages_do_what_the_operators_say(spark):
     assert len(out) > 700
     decoder = sp_codec.Decoder(sp_codec.Vocabulary(sp_codec.model_path()))
     assert all(decoder.text(np.array(r.pieces)) == r.text and len(r.text) == r.n_chars for r in out)
+
+
+def test_a_text_that_does_not_come_back_is_an_error(spark, monkeypatch):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "some ▁ words"), (2, None), (3, "")], "doc_id long, text string")
+    assert corpus_pipeline.pieces(spark, df, SF).count() == 3
+    whole = sp_codec.Vocabulary.__init__
+
+    def damaged(self, path):
+        whole(self, path)
+        self.text_of = [t + "#" for t in self.text_of]
+
+    monkeypatch.setattr(sp_codec.Vocabulary, "__init__", damaged)
+    with pytest.raises(Exception, match="does not come back"):
+        corpus_pipeline.pieces(spark, df, SF).collect()
