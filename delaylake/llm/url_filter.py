@@ -2,7 +2,8 @@
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy,
 parameter counts, and for the last one and two labels of the host how often
-labelled URLs with that suffix were blocked. Labelled URLs are those that a rule
+labelled URLs with that suffix were blocked; for a URL that the trees are fitted on, its own
+fold of the labelled ones does not count. Labelled URLs are those that a rule
 decides. They are fitted on at most ``SAMPLE`` distinct labelled URLs (those
 with the least hash), a bound that does not grow with the table; every page is
 judged.
@@ -15,6 +16,7 @@ labelled URL at all the model allows; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 SAMPLE = 20_000
+FOLDS = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -65,13 +68,22 @@ def _entropy(text: str) -> float:
 
 @dataclass
 class UrlModel:
-    rates: dict[str, float]
+    seen: dict[str, tuple[float, float]]
     prior: float
     trees: Boosted | None
 
-    def features(self, urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> np.ndarray:
+    def rate(self, suffix: str, without: tuple[float, float] | None = None) -> float:
+        """Share of block among labelled URLs of the suffix, drawn to the share in all; ``without`` leaves out counts."""
+        blocked, n = self.seen.get(suffix, (0.0, 0.0))
+        if without:
+            blocked, n = blocked - without[0], n - without[1]
+        return (blocked + 10 * self.prior) / (n + 10)
+
+    def features(self, urls: pd.Series, hosts: pd.Series, paths: pd.Series, left_out: list[dict[str, tuple[float, float]]] | None = None) -> np.ndarray:
+        """Rows of features; of labelled URLs ``left_out`` has the counts of their own fold, which their rates do without."""
         rows = []
-        for url, host, path in zip(urls.fillna(""), hosts, paths):
+        for k, (url, host, path) in enumerate(zip(urls.fillna(""), hosts, paths)):
+            own = left_out[k] if left_out else {}
             labels = host.split(".")
             query = url.partition("?")[2].partition("#")[0]
             n = max(1, len(url))
@@ -94,8 +106,8 @@ class UrlModel:
                     float("#" in url),
                     float(url.startswith("https")),
                     len(re.findall(r"[^A-Za-z0-9:/.?&=#_-]", url)),
-                    self.rates.get(labels[-1], self.prior),
-                    self.rates.get(".".join(labels[-2:]), self.prior),
+                    self.rate(labels[-1], own.get(labels[-1])),
+                    self.rate(".".join(labels[-2:]), own.get(".".join(labels[-2:]))),
                 )
             )
         return np.array(rows, dtype=np.float64).reshape(-1, 18)
@@ -112,23 +124,24 @@ def fit(labelled: pd.DataFrame) -> UrlModel:
     if not len(y):
         return UrlModel({}, 0.0, None)
     prior = float(y.mean())
-    seen: dict[str, list[float]] = {}
-    for host, label in zip(labelled.host, y):
+    fold_of = labelled.url.fillna("").map(lambda u: zlib.crc32(u.encode("utf-8", "surrogatepass")) % FOLDS).to_numpy()
+    folds: list[dict[str, tuple[float, float]]] = [{} for _ in range(FOLDS)]
+    seen: dict[str, tuple[float, float]] = {}
+    for host, label, fold in zip(labelled.host, y, fold_of):
         parts = host.split(".")
         for suffix in {parts[-1], ".".join(parts[-2:])}:
-            s = seen.setdefault(suffix, [0.0, 0.0])
-            s[0] += label
-            s[1] += 1
-    rates = {k: (a + 10 * prior) / (n + 10) for k, (a, n) in seen.items()}
-    model = UrlModel(rates, prior, None)
+            for counts in (seen, folds[fold]):
+                blocked, n = counts.get(suffix, (0.0, 0.0))
+                counts[suffix] = (blocked + label, n + 1)
+    model = UrlModel(seen, prior, None)
     # rules label some hosts more often than others: both verdicts weigh the same in all
     weight = np.where(y > 0, 0.5 / max(prior, 1e-9), 0.5 / max(1 - prior, 1e-9))
-    model.trees = Boosted.fit(model.features(labelled.url, labelled.host, labelled.path), y, weight)
+    model.trees = Boosted.fit(model.features(labelled.url, labelled.host, labelled.path, [folds[k] for k in fold_of]), y, weight)
     return model
 
 
 def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """``page_id, host, path, rule, verdict, score`` for every page; score is the model's chance of block."""
+    """``page_id, host, path, rule, verdict, score`` for every page; score is the model's chance of block, null where a rule decides."""
     ship(pages.sparkSession)
     url = F.col("url").cast("string")
     host, path = host_path(url)
@@ -140,10 +153,14 @@ def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     model = fit(labelled.toPandas())
 
     @F.pandas_udf("double")
-    def score(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(urls, hosts, paths))
-
-    scored = rows.withColumn("score", score("url", "host", "path"))
+    def score(urls: pd.Series, hosts: pd.Series, paths: pd.Series, ruled: pd.Series) -> pd.Series:
+        open_ = ruled.isna().to_numpy()
+        out = pd.Series([None] * len(urls), dtype="Float64")
+        if open_.any():
+            out[open_] = model.scores(urls[open_], hosts[open_], paths[open_])
+        return out
+
+    scored = rows.withColumn("score", score("url", "host", "path", "ruled"))
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score"
     )
