@@ -5,8 +5,9 @@ reduced to words, and matched against word beginnings by one Aho-Corasick
 automaton; accented words are matched as they are and without their accents.
 Weights are log odds learned from labelled documents. Exception phrases, that is
 words or neighbouring pairs that hold a term and were seen only in clean
-documents, take the term's weight back. The sum is normalised by length, and a
-logistic curve turns it into a score.
+documents, take the term's weight back. The sum is normalised by length (the weight itself,
+by the logarithm of the number of words, and for each hundred words: syllables of a term
+also turn up by chance in long clean texts), and a logistic curve turns it into a score.
 
 Only labelled rows whose ``crc32(doc_id) mod 3`` is not 1 are learned from, at
 most ``SAMPLE`` of them (those with the least hash): a bound that does not grow
@@ -14,7 +15,8 @@ with the corpus. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no words and get the score of a text
 without matches; without labels of both kinds nothing can be told apart and
-every score is 0.5 (only toxic ones) or 0; repeated labels of a document count as toxic if one of them is;
+every score is 0.5 (only toxic ones) or 0; near copies (one least shingle) are one labelled
+text, the least of them, toxic if one of them is; repeated labels of a document count as toxic if one of them is;
 labels with a null doc_id or null toxic, and columns besides, are not used; rows
 of documents that share a doc_id are scored each on its own text; a null doc_id
 is not held out.
@@ -44,6 +46,7 @@ MIN_DOCS = 3
 MIN_ODDS = 2.0
 #: Chance that any one of the candidate terms is chosen without cause.
 FALSE_TERM = 0.05
+ONCE_IN = 50
 
 _LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ӏ": "l",
@@ -94,7 +97,7 @@ class Lexicon:
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: dict[str, float] = field(default_factory=dict)
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     constant: float | None = 0.0
     _automaton: ahocorasick.Automaton | None = None
 
@@ -133,35 +136,49 @@ class Lexicon:
 def _inputs(sums: list[tuple[float, int, int]]) -> np.ndarray:
     s = np.array(sums, dtype=np.float64).reshape(-1, 3)
     density = s[:, 0] / np.log2(s[:, 2] + 2.0)
-    return np.stack([np.ones(len(s)), np.minimum(s[:, 0], 10.0), np.minimum(density, 10.0)], axis=1)
+    rate = np.log1p(100.0 * s[:, 0] / np.maximum(s[:, 2], 1.0))
+    return np.stack([np.ones(len(s)), np.minimum(s[:, 0], 10.0), np.minimum(density, 10.0), rate], axis=1)
 
 
-def _beginnings(words: list[str]) -> set[str]:
-    return {w[:n] for w in set(words) if len(w) >= SHORTEST for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+def _beginnings(words: list[str]) -> Counter:
+    """How often each word beginning stands in a text."""
+    found: Counter = Counter()
+    for w, n in Counter(words).items():
+        for size in range(SHORTEST, min(len(w), LONGEST) + 1):
+            found[w[:size]] += n
+    return found
 
 
 def _count(kind):
-    """Per task: how many toxic and clean sample documents hold each key of ``kind(words)``."""
+    """Per task: how many toxic and clean sample documents hold each key of ``kind(words)``, and how often.
+
+    In one document a key counts once, and once more for each ``ONCE_IN`` words at most. The
+    empty key has the words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        docs: tuple[Counter, Counter] = (Counter(), Counter())
+        times: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(strings(batch.column(0)), batch.column(1).to_pylist()):
-                seen[0 if toxic else 1].update(kind(folded_words(text)))
-        keys = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string())] + [pa.array([c[k] for k in keys], type=pa.int64()) for c in seen], ["key", "pos", "neg"])
+                words = folded_words(text)
+                found, side, most = kind(words), 0 if toxic else 1, 1 + len(words) // ONCE_IN
+                docs[side].update(found.keys())
+                times[side].update({k: min(n, most) for k, n in found.items()})
+                docs[side][""] += 1
+                times[side][""] += len(words)
+        keys = list(docs[0].keys() | docs[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string())] + [pa.array([c[k] for k in keys], type=pa.int64()) for c in (*docs, *times)], _COUNTED)
 
     return run
 
 
-def _counts(sample: DataFrame, kind, least: int = 0) -> dict[str, tuple[int, int]]:
-    found = sample.mapInArrow(_count(kind), "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return {r["key"]: (r["pos"], r["neg"]) for r in found.filter(F.col("pos") + F.col("neg") >= least).collect()}
+_COUNTED = ["key", "pos", "neg", "pos_n", "neg_n"]
 
 
-def odds(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
-    """Smoothed log odds ratio."""
-    return math.log((pos + 0.5) / (n_pos - pos + 0.5)) - math.log((neg + 0.5) / (n_neg - neg + 0.5))
+def _counts(sample: DataFrame, kind, least: int = 0) -> dict[str, tuple[int, int, int, int]]:
+    found = sample.mapInArrow(_count(kind), "key string, pos long, neg long, pos_n long, neg_n long").groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTED[1:]])
+    return {r["key"]: tuple(r)[1:] for r in found.filter(F.col("pos") + F.col("neg") >= least).collect()}
 
 
 def evidence(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
@@ -171,14 +188,21 @@ def evidence(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
 
 
-def choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
-    """The word beginnings that tell toxic from clean, none the beginning of another."""
+def choose(counts: dict[str, tuple[int, int, int, int]]) -> dict[str, float]:
+    """The word beginnings that tell toxic from clean, none the beginning of another, with log odds of their rates.
+
+    Whether a beginning is a term depends on the documents that hold it; which of several
+    that overlap, and its weight, on how often it stands in how many words.
+    """
+    n_pos, n_neg, words_pos, words_neg = counts.get("", (0, 0, 0, 0))
     bar = 2 * math.log(max(2, len(counts)) / FALSE_TERM)
     ranked = []
-    for key, (pos, neg) in counts.items():
-        value, found = odds(pos, neg, n_pos, n_neg), evidence(pos, neg, n_pos, n_neg)
-        if pos >= MIN_DOCS and found >= bar and value >= MIN_ODDS:
-            ranked.append((found, len(key), key, value))
+    for key, (pos, neg, pos_n, neg_n) in counts.items():
+        if not key or pos < MIN_DOCS or evidence(pos, neg, n_pos, n_neg) < bar:
+            continue
+        value = math.log((pos_n + 0.5) / (words_pos + 1)) - math.log((neg_n + 0.5) / (words_neg + 1))
+        if value >= MIN_ODDS:
+            ranked.append((evidence(pos_n, neg_n, words_pos, words_neg), len(key), key, value))
     ranked.sort(reverse=True)
     terms: dict[str, float] = {}
     covered: set[str] = set()
@@ -225,24 +249,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     # at most `sample` pairs of numbers are broadcast; copies and most near copies of a text
     # (those with the same least shingle) are no further evidence
     joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_id"]).select("text", "toxic")
-    picked = stored(joined.mapInArrow(_families, "text string, toxic int, family long").dropDuplicates(["family"]).drop("family"), "labelled")
+    families = joined.mapInArrow(_families, "text string, toxic int, family long").groupBy("family")
+    picked = stored(families.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("family"), "labelled")
     sizes = {bool(r["toxic"]): r["count"] for r in picked.groupBy("toxic").count().collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_neg:
         return Lexicon(constant=0.5 if n_pos else 0.0)
     frequent = set(_counts(picked.filter("toxic != 0"), _beginnings, MIN_DOCS))
-    counts = _counts(picked, lambda words: _beginnings(words) & frequent)
-    terms = choose(counts, n_pos, n_neg)
+    terms = choose(_counts(picked, lambda words: {k: n for k, n in _beginnings(words).items() if k in frequent}))
 
-    def around(words: list[str]) -> set[str]:
+    def around(words: list[str]) -> dict[str, int]:
         out = set()
         for i, w in enumerate(words):
             if any(w[:n] in terms for n in range(SHORTEST, len(w) + 1)):
                 out.add(w)
                 out.update(" ".join(p) for p in (words[i - 1 : i + 1] if i else [], words[i : i + 2]) if len(p) == 2)
-        return out
+        return dict.fromkeys(out, 1)
 
-    phrases = {k: v for k, v in _counts(picked, around).items() if v[0] == 0 and v[1] >= 2}
+    phrases = {k: v for k, v in _counts(picked, around).items() if k and v[0] == 0 and v[1] >= 2}
     exceptions: dict[str, float] = {}
     for phrase in sorted(phrases, key=lambda p: (p.count(" "), p)):
         words = phrase.split()
