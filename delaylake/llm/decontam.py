@@ -1,38 +1,43 @@
-"""Operator 6: benchmark decontamination with one Aho-Corasick automaton.
+"""Operator 6: benchmark decontamination with Aho-Corasick over normalised items.
 
 Benchmark items are normalised to lower-case words and cut into windows of 13
-words (a shorter item is one window). All windows make one automaton, and each
+words (a shorter item is one window). The windows make one automaton, and each
 document is scanned once in its normalised form; word numbers of a match come
 from the normalised text, and spans lead back to offsets of the original.
 
-The automaton travels to every task only while the benchmark's text is below
-``automaton_bytes``. A larger benchmark takes the other way: windows and
-document windows are named by hash and meet in a shuffled join, after which the
-words are compared.
+An automaton takes some 26 bytes for each letter of its windows, so it is bounded:
+items are packed into parts of at most ``PART_LETTERS`` window letters (a longer item
+is cut where its windows allow), each part is one automaton and one broadcast of
+bounded size, and a task holds one automaton at a time while it scans the texts
+that it has read so far with each part in turn. What is found does not depend on the
+number of parts; one part is scanned once, and scanning grows with their number.
 
 Defined results: null text has no words; items without words (null, empty,
 signs only) have no window; repeated item_ids count once in ``n_items``, with
 the windows of all their rows; rows without item_id take no part; an empty
-benchmark hits nothing; columns other than id and text are not looked at.
+benchmark hits nothing; columns other than id and text are not looked at. Every row
+is judged on its own text, whatever its doc_id (null or repeated ones too).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, strings, table, texts_of
+from .common import ship, strings, table, texts_of
 
 WINDOW = 13
-AUTOMATON_BYTES = 16 << 20
+#: Letters of the windows in one automaton at most: some 100 MB.
+PART_LETTERS = 4 << 20
+#: Text that a task holds while it goes from one automaton to the next.
+HELD_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: A-Z to a-z, every other ASCII sign that no word holds to a space.
@@ -52,10 +57,15 @@ def windows_of(text: str, window: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
+def line_of(text: str) -> str:
+    """The words with a space before, between and behind them."""
+    return " " + "".join([w.decode("latin-1") + " " for w in words_of(text)])
+
+
 class Scanner:
-    """The automaton over all windows, and the items that each window belongs to."""
+    """The automaton over the windows of some items, and the items that each window belongs to."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[int, str]], window: int = WINDOW):
         self.owners: dict[bytes, set[int]] = {}
         for item, text in items:
             for w in windows_of(text, window):
@@ -66,32 +76,61 @@ class Scanner:
         if self.owners:
             self.automaton.make_automaton()
 
-    def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Number of words, hit runs of words (end exclusive), items found."""
-        words = words_of(text)
-        if not words or not self.owners:
-            return len(words), [], set()
-        line = " " + b" ".join(words).decode("latin-1") + " "
-        spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+    def find(self, line: str) -> tuple[list[tuple[int, int]], set[int]]:
+        """Runs of words (end exclusive) of each occurrence, and the items found."""
+        if len(line) < 2 or not self.owners:
+            return [], set()
         ends: list[int] = []
+        sizes: list[int] = []
+        items: set[int] = set()
         for end, w in self.automaton.iter(line):
-            if not ends:
-                # column in ``line`` of the space after each word
-                at = 0
-                for x in words:
-                    at += len(x) + 1
-                    ends.append(at)
-            last = bisect_left(ends, end) + 1
-            spans.append((last - w.count(b" ") - 1, last))
+            ends.append(end)
+            sizes.append(w.count(b" ") + 1)
             items |= self.owners[w]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return len(words), merged, items
+        if not ends:
+            return [], items
+        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
+        last = np.searchsorted(spaces, ends).tolist()
+        return [(b - n, b) for b, n in zip(last, sizes)], items
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Parts:
+    """Scans texts with the automaton of each part in turn, one of them in memory at a time."""
+
+    def __init__(self, parts: list, window: int):
+        self.parts, self.window = parts, window
+        self.now: tuple[int, Scanner] | None = None
+
+    def __getstate__(self):
+        return {"parts": self.parts, "window": self.window, "now": None}
+
+    def scan(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[int], bool]]:
+        """Of each text: words, merged runs of hit words, items found, whether a whole window of words was found."""
+        lines = [line_of(t) for t in texts]
+        spans: list[set[tuple[int, int]]] = [set() for _ in lines]
+        items: list[set[int]] = [set() for _ in lines]
+        # the automaton that was used last comes first
+        first = self.now[0] if self.now else 0
+        for i in [first, *(k for k in range(len(self.parts)) if k != first)] if self.parts else []:
+            if self.now is None or self.now[0] != i:
+                self.now = None
+                self.now = (i, Scanner(self.parts[i].value, self.window))
+            for k, line in enumerate(lines):
+                found, owners = self.now[1].find(line)
+                if found:
+                    spans[k].update(found)
+                    items[k] |= owners
+        return [(max(0, line.count(" ") - 1), merged(s), i, any(b - a >= self.window for a, b in s)) for line, s, i in zip(lines, spans, items)]
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -124,27 +163,64 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null")
 
 
-def load(benchmark: DataFrame, limit: int = AUTOMATON_BYTES):
-    """The items as a broadcast list, or None if their text is larger than ``limit``."""
-    items = _items(benchmark)
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    if size > limit:
-        return None
-    return benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def cut_item(text: str, window: int, letters: int) -> Iterator[str]:
+    """The text, or if its windows are too long for a part, overlapping pieces with the same windows."""
+    if window * (len(text) + 2) <= letters:
+        yield text
+        return
+    words = [w.decode("utf-8", "surrogatepass") for w in words_of(text)]
+    lo = 0
+    while lo < len(words):
+        hi, size = lo, 0
+        while hi < len(words) and (hi - lo < window or window * (size + len(words[hi]) + 2) <= letters):
+            size += len(words[hi]) + 1
+            hi += 1
+        yield " ".join(words[lo:hi])
+        if hi == len(words):
+            return
+        lo = hi - window + 1
+
+
+def load(benchmark: DataFrame, window: int = WINDOW, letters: int = PART_LETTERS) -> Parts:
+    """The items in broadcasts of bounded size; the driver holds one part at a time."""
+    spark = benchmark.sparkSession
+    parts, part, size = [], [], 0
+    for row in _items(benchmark).toLocalIterator():
+        for text in cut_item(row.text, window, letters):
+            n = window * (len(text) + 2)
+            if part and size + n > letters:
+                parts.append(spark.sparkContext.broadcast(part))
+                part, size = [], 0
+            part.append((row.item_id, text))
+            size += n
+    if part:
+        parts.append(spark.sparkContext.broadcast(part))
+    return Parts(parts, window)
+
+
+def _held(batches: Iterable[pa.RecordBatch], size: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``size`` bytes, but the last."""
+    group: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        group.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(group)
+            group, n = [], 0
+    if group:
+        yield pa.concat_batches(group)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, letters: int = PART_LETTERS) -> DataFrame:
     """One row per document: counts, items found and the spans of hit words in the original text."""
-    shared = load(benchmark, automaton_bytes)
-    if shared is None:
-        return _joined(docs, benchmark, window)
+    shared = load(benchmark, window, letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, window)
-        for batch in batches:
+        for batch in _held(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                n, runs, items = scanner.scan(text)
+            texts = strings(batch.column(1))
+            for doc_id, text, (n, runs, items, _) in zip(batch.column(0).to_pylist(), texts, shared.scan(texts)):
                 hit = sum(b - a for a, b in runs)
                 spans = [{"start": a, "end": b} for a, b in original_spans(text, runs)]
                 rows.append((doc_id, n, hit, len(items), items_digest(items), is_contaminated(hit, n), sorted(items), spans))
@@ -154,85 +230,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automat
     return texts_of(docs).mapInArrow(run, SCHEMA)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The same for a benchmark too large for one automaton: windows meet by name in a shuffle."""
-
-    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (xxhash.xxh64_intdigest(w) >> 1, item, w, w.count(b" ") + 1)
-                for item, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)))
-                for w in windows_of(text, window)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.int32()))], ["name", "item_id", "words", "size"]
-            )
-
-    known = _items(benchmark).mapInArrow(item_windows, "name long, item_id long, words binary, size int")
-    sizes = [r[0] for r in known.select("size").distinct().collect()]
-
-    def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), strings(batch.column(2))):
-                words = words_of(text)
-                for size in sizes:
-                    for i in range(len(words) - size + 1):
-                        w = b" ".join(words[i : i + size])
-                        rows.append((xxhash.xxh64_intdigest(w) >> 1, key, i, w))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["name", "key", "at", "words"]
-            )
-
-    # what is found in a row depends on its text alone
-    keyed = texts_of(docs).select(F.sha2("text", 256).alias("key"), "doc_id", "text")
-    found = (
-        keyed.mapInArrow(doc_windows, "name long, key string, at long, words binary")
-        .join(known, ["name", "words"])
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("at", "size")).alias("places"), F.collect_set("item_id").alias("items"))
-    )
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, places, items in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                n, runs = len(words_of(text)), []
-                for a, b in sorted((p["at"], p["at"] + p["size"]) for p in places or []):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-                    else:
-                        runs.append((a, b))
-                hit = sum(b - a for a, b in runs)
-                spans = [{"start": a, "end": b} for a, b in original_spans(text, runs)]
-                items = sorted(items or [])
-                rows.append((doc_id, n, hit, len(items), items_digest(items), is_contaminated(hit, n), items, spans))
-            columns = zip(*rows) if rows else [[]] * len(_ARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
-
-    return keyed.join(found, "key", "left").select("doc_id", "text", "places", "items").mapInArrow(finish, SCHEMA)
-
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, letters: int = PART_LETTERS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text holds no window of ``window`` words of an item.
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated (judged on the row's own text)."""
-    shared = load(benchmark, automaton_bytes)
-    if shared is None:
-        # each text once, under a written number: doc_ids may be null or shared
-        text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-        texts = stored(docs.select(text.alias("text")).distinct().withColumn("doc_id", F.monotonically_increasing_id()), "texts")
-        found = matches(texts, benchmark, window, automaton_bytes).filter("contaminated").select("doc_id")
-        bad = texts.join(found, "doc_id").select(F.sha2("text", 256).alias("_key"))
-        return docs.join(bad, F.sha2(text, 256) == bad["_key"], "left_anti")
+    Items shorter than a window are phrases that a clean text may hold: a row goes for
+    those only where it is contaminated, that is where hits make a twentieth of its words.
+    """
+    shared = load(benchmark, window, letters)
     ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, window)
-        for batch in batches:
-            keep = []
-            for text in strings(batch.column(at)):
-                n, runs, _ = scanner.scan(text)
-                keep.append(not is_contaminated(sum(b - a for a, b in runs), n))
+        for batch in _held(batches):
+            found = shared.scan(strings(batch.column(at)))
+            keep = [not whole and not is_contaminated(sum(b - a for a, b in runs), n) for n, runs, _, whole in found]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
