@@ -48,28 +48,43 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
 
 
 def export_days(df: DataFrame, root: str, table: str, days: list[str], day: Column) -> dict[str, int]:
-    """Write the days' rows to ``root/table/poll_day=...``; days already there are skipped. Returns rows per day written.
+    """Write the days' rows to ``root/table/poll_day=...``. Returns rows per day written.
 
-    Raises where a folder does not hold what was to be written.
+    A day that is there already is compared with the rows at hand: those it does not hold
+    (late ones, or all but some after a broken run) are added, the others not written again.
+    Raises where a folder does not hold in the end what it must.
     """
     spark = df.sparkSession
-    todo = [d for d in days if not exists(spark, f"{root}/{table}/poll_day={d}")]
-    if not todo:
-        return {}
-    rows = df.withColumn("poll_day", day).filter(F.col("poll_day").isin(todo))
-    expected = {r["poll_day"]: r["count"] for r in rows.groupBy("poll_day").count().collect()}
+    rows = df.withColumn("poll_day", day).filter(F.col("poll_day").isin(days))
+    old = [d for d in days if exists(spark, f"{root}/{table}/poll_day={d}")]
+    if old:
+        stored_ = spark.read.schema(df.schema).parquet(*[f"{root}/{table}/poll_day={d}" for d in old]).select(*df.columns).withColumn("poll_day", day)
+        rows = rows.exceptAll(stored_)
     fresh = f"{root}/{table}.new"
     delete(spark, fresh)
     rows.repartition("poll_day", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy("poll_day").option("compression", "zstd").parquet(fresh)
-    stored = {str(r["poll_day"]): r["count"] for r in spark.read.option("recursiveFileLookup", "false").parquet(fresh).groupBy("poll_day").count().collect()} if expected else {}
+    count = lambda part: {r["poll_day"]: r["count"] for r in part.groupBy("poll_day").count().collect()}
+    written = spark.read.schema(df.schema).parquet(fresh).select(*df.columns).withColumn("poll_day", day)
+    expected, stored = count(rows), count(written)
     if stored != expected:
         delete(spark, fresh)
         raise RuntimeError(f"{table}: wrote {stored}, expected {expected}")
+    before = count(stored_) if old else {}
     fs, base = _fs(spark, f"{root}/{table}")
     fs.mkdirs(base)
     for d in expected:
-        rename(spark, f"{fresh}/poll_day={d}", f"{root}/{table}/poll_day={d}")
+        if d not in old:
+            rename(spark, f"{fresh}/poll_day={d}", f"{root}/{table}/poll_day={d}")
+            continue
+        for part in fs.listStatus(_fs(spark, f"{fresh}/poll_day={d}")[1]):
+            name = part.getPath().getName()
+            if name.endswith(".parquet"):
+                rename(spark, f"{fresh}/poll_day={d}/{name}", f"{root}/{table}/poll_day={d}/late-{name}")
     delete(spark, fresh)
+    for d in [d for d in old if d in expected]:
+        now = spark.read.schema(df.schema).parquet(f"{root}/{table}/poll_day={d}").count()
+        if now != before.get(d, 0) + expected[d]:
+            raise RuntimeError(f"{table}, {d}: holds {now} rows, expected {before.get(d, 0) + expected[d]}")
     return expected
 
 
@@ -79,21 +94,37 @@ class Compacted:
     rows: dict[str, int]
 
 
+def replace(spark: SparkSession, folder: str) -> None:
+    """Put ``folder.new`` in the place of ``folder``; what a broken run left is found by :func:`recovered`."""
+    delete(spark, f"{folder}.old")
+    rename(spark, folder, f"{folder}.old")
+    rename(spark, f"{folder}.new", folder)
+    delete(spark, f"{folder}.old")
+
+
+def recovered(spark: SparkSession, folder: str) -> None:
+    """Where a run broke off between the renames of :func:`replace`, the former folder comes back."""
+    if exists(spark, f"{folder}.old") and not exists(spark, folder):
+        rename(spark, f"{folder}.old", folder)
+
+
 def compact(spark: SparkSession, hot: str, cold: str, today: str, keep_days: int = 7) -> Compacted:
     """Move finished days of calls, polls and weather to the cold tier.
 
-    Hot rows go only after every table's export is verified.
+    Hot rows go only after every table's export is verified; rows whose time is
+    missing are of no day and stay.
     """
-    read = lambda t: spark.read.schema(TABLES[t]).parquet(f"{hot}/{t}")
+    read = lambda t: spark.read.schema(TABLES[t]).parquet(f"{hot}/{t}").select(*TABLES[t].fieldNames())
+    for t in ("calls", "polls", "weather"):
+        recovered(spark, f"{hot}/{t}")
     days = sorted(r["day"] for r in eligible_days(read("polls"), keep_days, today).collect())
     tables = [t for t in ("calls", "polls", "weather") if exists(spark, f"{hot}/{t}")]
     written = {t: sum(export_days(read(t), cold, t, days, poll_day(F.col("polled_at"))).values()) for t in tables}
     if days:
         for t in tables:
-            left = read(t).filter(~poll_day(F.col("polled_at")).isin(days))
-            left.write.mode("overwrite").option("compression", "zstd").parquet(f"{hot}/{t}.new")
-            delete(spark, f"{hot}/{t}")
-            rename(spark, f"{hot}/{t}.new", f"{hot}/{t}")
+            gone = F.coalesce(poll_day(F.col("polled_at")).isin(days), F.lit(False))
+            read(t).filter(~gone).write.mode("overwrite").option("compression", "zstd").parquet(f"{hot}/{t}.new")
+            replace(spark, f"{hot}/{t}")
     return Compacted(days, written)
 
 
@@ -153,17 +184,15 @@ def allowed(calls: DataFrame, lines: DataFrame, modes: list[str]) -> DataFrame:
 
 def new_groups(listed: DataFrame, polls: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Raw polls (``dataset, polled``) with no known poll of their dataset within the tolerance: the holes."""
-    rows = listed.withColumn("_id", F.xxhash64("day", "group"))
     known = polls.select("dataset", F.try_to_timestamp("polled_at").alias("at"), "poll_id")
-    found = nearest_within(rows, known, ["dataset"], "polled", "at", tolerance, ["poll_id"], "_id")
-    return found.filter("poll_id is null").drop("poll_id", "_id")
+    found = nearest_within(listed, known, ["dataset"], "polled", "at", tolerance, ["poll_id"])
+    return found.filter("poll_id is null").drop("poll_id")
 
 
 def matched_groups(listed: DataFrame, polls: DataFrame, tolerance: float = TOLERANCE, earliest: bool = False) -> DataFrame:
     """Raw polls with the ``poll_id`` and ``polled_at`` of the nearest (or earliest) known poll of their dataset."""
-    rows = listed.withColumn("_id", F.xxhash64("day", "group"))
     known = polls.select("dataset", F.try_to_timestamp("polled_at").alias("at"), "poll_id", "polled_at")
-    return nearest_within(rows, known, ["dataset"], "polled", "at", tolerance, ["poll_id", "polled_at"], "_id", earliest).drop("_id")
+    return nearest_within(listed, known, ["dataset"], "polled", "at", tolerance, ["poll_id", "polled_at"], earliest)
 
 
 def absent_journeys(calls: DataFrame, known: DataFrame) -> DataFrame:
