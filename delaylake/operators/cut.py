@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,17 @@ def _drop(spark: SparkSession, root: str) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """This run's folder below ``spark.checkpoint.dir``, which all executors share; a temporary one where that is unset."""
+    """This run's folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a temporary folder takes its place, in local mode alone.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="delaylake-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="delaylake-")
         _ROOTS[app] = f"{base.rstrip('/')}/delaylake-cut-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _ROOTS[app])
     return _ROOTS[app]
