@@ -152,9 +152,9 @@ def last_by_other(
 
 
 def strictly_later(probes: DataFrame, facts: DataFrame, keys: list[str], probe_order: Column, fact_order: Column, values: list[str]) -> DataFrame:
-    """``probes`` with the ``values`` of each key's last fact, where that fact is strictly later."""
+    """``probes`` with the ``values`` of each key's last fact (of equals the greatest values), where that fact is strictly later."""
     last = facts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.max_by(F.struct(*values), fact_order).alias("_value"), F.max(fact_order).alias("_order")
+        F.max_by(F.struct(*values), F.struct(fact_order.alias("o"), *values)).alias("_value"), F.max(fact_order).alias("_order")
     )
     same = [probes[k].eqNullSafe(last[f"_k{i}"]) for i, k in enumerate(keys)]
     joined = probes.withColumn("_mine", probe_order).join(last, same, "left")
@@ -162,26 +162,34 @@ def strictly_later(probes: DataFrame, facts: DataFrame, keys: list[str], probe_o
     return joined.select(*probes.columns, *[F.when(ok, F.col("_value")[v]).alias(v) for v in values])
 
 
-def nearest_within(probes: DataFrame, facts: DataFrame, keys: list[str], probe_time: str, fact_time: str, tolerance: float, values: list[str], id_col: str, earliest: bool = False) -> DataFrame:
-    """``probes`` with the nearest fact at most ``tolerance`` seconds away (of equals the later one).
+def nearest_within(
+    probes: DataFrame, facts: DataFrame, keys: list[str], probe_time: str, fact_time: str, tolerance: float, values: list[str], earliest: bool = False, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """``probes`` with the nearest fact at most ``tolerance`` seconds away (of two as near the later one).
 
-    With ``earliest`` the first fact within the tolerance instead. Facts are
-    listed under their own and both neighbouring cells of the tolerance's width,
-    which makes the range join an equi-join. ``id_col`` names a probe.
+    With ``earliest`` the first fact within the tolerance instead. The newest fact at or
+    before a probe and the first one at or after it are two as-of lookups, so no
+    probe meets more than two facts however many share its key. Of facts at one time
+    the one with the least values (as JSON) counts.
     """
-    width = int(tolerance * 1_000_000) + 1
-    cell = lambda c: F.floor(_micros(F.col(c)) / width)
-    right = facts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], _micros(F.col(fact_time)).alias("_ft"), F.struct(*values).alias("_value"),
-        F.explode(F.array(cell(fact_time) - 1, cell(fact_time), cell(fact_time) + 1)).alias("_cell"),
-    )
-    left = probes.withColumn("_pt", _micros(F.col(probe_time))).withColumn("_c", cell(probe_time))
-    same = [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)] + [left["_c"] == right["_cell"]]
-    gap = F.abs(F.col("_ft") - F.col("_pt"))
-    near = left.join(right, same).filter(gap <= int(tolerance * 1_000_000))
-    best = F.struct(F.col("_ft"), F.to_json("_value")) if earliest else F.struct(gap, -F.col("_ft"), F.to_json("_value"))
-    chosen = near.groupBy(id_col).agg(F.min_by("_value", best).alias("_value"))
-    return probes.join(chosen, id_col, "left").select(*[probes[c] for c in probes.columns], *[F.col("_value")[v].alias(v) for v in values])
+    at = lambda c, sign=1, shift=0: F.timestamp_micros(sign * (_micros(F.col(c)) + shift))
+    side = facts.filter(F.col(fact_time).isNotNull()).groupBy(*keys, _micros(F.col(fact_time)).alias("_ft"))
+    side = side.agg(F.min_by(F.struct(*values), F.to_json(F.struct(*values))).alias("_fact"))
+    side = side.select(*keys, F.struct("_fact", "_ft").alias("_found"), F.timestamp_micros("_ft").alias("_up"), F.timestamp_micros(-F.col("_ft")).alias("_down"))
+    wide = int(tolerance * 1_000_000)
+    here = _micros(F.col(probe_time))
+    # first at or after: the newest at or before where time runs backwards
+    rows = probes.withColumn("_from", at(probe_time, -1, -wide if earliest else 0))
+    found = as_of(rows, side, keys, "_from", "_down", ["_found"], slice_seconds=slice_seconds).withColumnRenamed("_found", "_after")
+    after = F.when(F.abs(F.col("_after._ft") - here) <= wide, F.col("_after"))
+    if earliest:
+        best = after
+    else:
+        found = as_of(found.withColumn("_until", at(probe_time)), side, keys, "_until", "_up", ["_found"], slice_seconds=slice_seconds).withColumnRenamed("_found", "_before")
+        before = F.when(here - F.col("_before._ft") <= wide, F.col("_before"))
+        later = F.col("_after._ft") - here <= F.coalesce(here - F.col("_before._ft"), F.lit(1 << 62))
+        best = F.when(later, F.coalesce(after, before)).otherwise(F.coalesce(before, after))
+    return found.withColumn("_best", best).select(*[F.col(c) for c in probes.columns], *[F.col("_best._fact")[v].alias(v) for v in values])
 
 
 def in_force(start: Column, end: Column, at: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Of each key the first row; ``order`` should be total."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c not in keys]
+    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return least.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def unbroken_sums(df: DataFrame, keys: list[str], order: str, value: str, expected: Column, name: str) -> DataFrame:

@@ -17,6 +17,7 @@ from delaylake.schemas import TRAINING_ROWS
 from .asof import as_of, closed_mean_table, closed_means, in_force, joined, last_by_other
 from .cut import cut
 from .history import LEAST_FOR_TYPICAL, History, history
+from .ordered import unbroken_sums
 
 SNAPSHOT = ["journey_ref", "operating_date", "polled_at", "poll_id"]
 TREND_STOPS = 3
@@ -119,9 +120,8 @@ def path_typicals(calls: DataFrame, states: DataFrame, past: History) -> DataFra
     ahead = edges.join(mine, [edges[c].eqNullSafe(mine[f"_{c}"]) for c in SNAPSHOT]).filter("order_no > current_order").select(*edges.columns, "current_order")
     ahead = cut(ahead, "edges")
     known = closed_means(ahead, past.segments, ["line_ref", "direction", "stop_from", "stop_to"], "bucket", None, "typical", LEAST_FOR_TYPICAL)
-    upto = trip.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = known.withColumn("typical_sum", F.sum("typical").over(upto)).withColumn("known", F.count("typical").over(upto))
-    return summed.filter("known = order_no - current_order").select(*SNAPSHOT, "order_no", "typical_sum")
+    whole = unbroken_sums(known, SNAPSHOT, "order_no", "typical", F.col("order_no") - F.col("current_order"), "typical_sum")
+    return whole.select(*SNAPSHOT, "order_no", "typical_sum")
 
 
 def situation_counts(snapshots: DataFrame, situations: DataFrame) -> DataFrame:

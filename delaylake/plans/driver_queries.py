@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaylake.functions import temporal as fn
-from delaylake.operators import asof, evaluate, health, history, models, ordered, replay, serving
+from delaylake.operators import asof, evaluate, health, history, models, ordered, replay, serving, tiering
 from delaylake.operators.cut import cut, work_dir
 from delaylake.schemas import SITUATIONS, WEATHER
+from delaylake.sources import archive, feeds
 from delaylake.streaming import jobs
 
 QUERIES: dict = {}
@@ -168,17 +169,26 @@ def q09(spark, sf_dir):
 
 
 @query(
-    "q10_interval_counts",
-    """with p as (select o_orderkey, o_orderpriority, o_orderdate as s, max(l_shipdate) as e from orders left join lineitem on l_orderkey = o_orderkey group by all)
-    select a.o_orderkey, count(b.o_orderkey) as active from p a left join p b on b.o_orderpriority = a.o_orderpriority and b.s <= a.s and (b.e is null or b.e >= a.s) group by all""",
+    "q10_situations",
+    """with o as (select o_orderkey, o_orderdate as t, date_trunc('month', o_orderdate) as stamp, 'L' || cast(o_custkey % 9 as varchar) as line from orders),
+    s as (select stamp, n_nationkey as n, 'L' || cast(n_nationkey % 7 as varchar) as line, stamp + to_days(n_nationkey % 5) as s, case when n_nationkey % 6 > 0 then stamp + to_days(10 + n_nationkey % 13) end as e
+     from (select distinct stamp from o where month(stamp) % 3 > 0), nation),
+    k as (select o_orderkey, t, line, (select max(stamp) from s where stamp <= t) as known from o)
+    select o_orderkey, case when known is not null then count(n) filter (where s.line = k.line) end as sx_line_active, case when known is not null then count(n) end as sx_network_active
+    from k left join s on s.stamp = k.known and s.s <= k.t and (s.e is null or s.e >= k.t) group by o_orderkey, known""",
 )
 def q10(spark, sf_dir):
-    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("e"))
-    at = lambda c: F.timestamp_micros(micros(F.col(c)))
-    p = table(spark, sf_dir, "orders").join(ends, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", at("o_orderdate").alias("s"), at("e").alias("e"))
-    # periods that end before they start are in force at no time
-    sound = p.filter("e is null or e >= s")
-    return asof.active_counts(p, sound, ["o_orderpriority"], "s", "s", "e", "active").select("o_orderkey", "active")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    orders = table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate")
+    snapshots = orders.select("o_orderkey", F.timestamp_micros(micros(at)).alias("polled"), F.concat(F.lit("L"), F.col("o_custkey") % 9).alias("snapshot_line"))
+    stamps = orders.select(F.date_trunc("month", F.date_format(at, "yyyy-MM-dd HH:mm:ss").cast("timestamp")).alias("stamp")).distinct().filter(F.month("stamp") % 3 > 0)
+    n = F.col("n_nationkey")
+    listed = stamps.crossJoin(F.broadcast(table(spark, sf_dir, "nation"))).select(
+        iso("stamp").alias("polled_at"), n.cast("string").alias("situation_number"), F.concat(F.lit("L"), n % 7).alias("line_ref"),
+        iso(F.timestamp_add("DAY", n % 5, "stamp")).alias("start_time"), F.when(n % 6 > 0, iso(F.timestamp_add("DAY", 10 + n % 13, "stamp"))).alias("end_time"),
+    )
+    return replay.situation_counts(snapshots, listed).select("o_orderkey", "sx_line_active", "sx_network_active")
 
 
 @query(
@@ -190,20 +200,21 @@ def q11(spark, sf_dir):
     ev = events(spark, sf_dir)
     bought = ev.filter("event_type = 'purchase'").select("event_id", "user_id", "at")
     views = ev.filter("event_type = 'view'").select("user_id", F.col("at").alias("seen"), F.col("event_id").alias("near_id"))
-    return asof.nearest_within(bought, views, ["user_id"], "at", "seen", 7200, ["near_id"], "event_id").select("event_id", "near_id")
+    return asof.nearest_within(bought, views, ["user_id"], "at", "seen", 7200, ["near_id"]).select("event_id", "near_id")
 
 
 @query(
-    "q12_anti_semi",
-    """select c_mktsegment, count(*) filter (where not exists (select 1 from orders where o_custkey = c_custkey)) as without, count(*) filter (where exists (select 1 from orders where o_custkey = c_custkey)) as having_orders
-    from customer group by all""",
+    "q12_absent",
+    """select 'journeys' as kind, c_mktsegment as what, count(*) as n from customer where not exists (select 1 from orders where o_custkey = c_custkey) group by all
+    union all select 'stops', cast(s as varchar), count(*) from (select distinct c_nationkey % 10 as s from customer where c_nationkey % 10 not in (select s_nationkey % 10 from supplier where s_nationkey < 17)) group by all""",
 )
 def q12(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    bought = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    absent = customers.join(bought, "c_custkey", "left_anti").select("c_mktsegment", F.lit(1).alias("a"), F.lit(0).alias("s"))
-    there = customers.join(bought, "c_custkey", "left_semi").select("c_mktsegment", F.lit(0).alias("a"), F.lit(1).alias("s"))
-    return absent.unionByName(there).groupBy("c_mktsegment").agg(F.sum("a").alias("without"), F.sum("s").alias("having_orders"))
+    customers = table(spark, sf_dir, "customer").select(F.lit(1).alias("poll_id"), F.col("c_custkey").cast("string").alias("journey_ref"), "c_mktsegment", (F.col("c_nationkey") % 10).cast("string").alias("stop_ref"))
+    bought = table(spark, sf_dir, "orders").select(F.lit(1).alias("poll_id"), F.col("o_custkey").cast("string").alias("journey_ref"))
+    quays = table(spark, sf_dir, "supplier").filter("s_nationkey < 17").select((F.col("s_nationkey") % 10).cast("string").alias("quay_ref"))
+    count = F.count(F.lit(1)).alias("n")
+    absent = tiering.absent_journeys(customers, bought).groupBy(F.lit("journeys").alias("kind"), F.col("c_mktsegment").alias("what")).agg(count)
+    return absent.unionByName(serving.missing_stops(customers, quays).groupBy(F.lit("stops").alias("kind"), F.col("quay_ref").alias("what")).agg(count))
 
 
 @query(
@@ -219,16 +230,27 @@ def q13(spark, sf_dir):
 
 @query(
     "q14_tier_union",
-    """with t as (select 'hot' as tier, * from orders where o_orderdate >= timestamp '1997-01-01' union all select 'cold', * from orders where o_orderdate < timestamp '1997-01-01')
-    select tier, o_orderstatus, count(*) as n, strftime(min(o_orderdate), '%Y-%m-%d') as first, strftime(max(o_orderdate), '%Y-%m-%d') as last, round(sum(o_totalprice), 2) as total from t group by all""",
+    """select o_orderstatus as feed, strftime(o_orderdate, '%Y-%m') as month, count(*) as n, count(distinct o_orderkey) as polls, min(o_orderkey) as first, cast(sum(o_custkey) as bigint) as n_calls from orders group by all""",
 )
 def q14(spark, sf_dir):
-    orders, limit = table(spark, sf_dir, "orders"), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
-    hot = orders.filter(F.col("o_orderdate") >= limit).withColumn("tier", F.lit("hot"))
-    cold = orders.filter(F.col("o_orderdate") < limit).withColumn("tier", F.lit("cold"))
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    both = hot.unionByName(cold).groupBy("tier", "o_orderstatus")
-    return both.agg(F.count(F.lit(1)).alias("n"), day(F.min("o_orderdate")).alias("first"), day(F.max("o_orderdate")).alias("last"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """Orders as polls: those of the last years are hot, each year before is a cold day, and one day is in both and gets its late rows."""
+    root = f"{work_dir(spark)}/tiers-{os.urandom(8).hex()}"
+    none = lambda kind: F.lit(None).cast(kind)
+    polls = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("poll_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("polled_at"), F.col("o_orderstatus").alias("feed"), F.col("o_orderpriority").alias("dataset"),
+        F.lit(1).cast("long").alias("pages"), none("long").alias("n_journeys"), F.col("o_custkey").alias("n_calls"), none("long").alias("n_dropped"), none("long").alias("duration_ms"), none("string").alias("error"),
+    )
+    old, year = F.col("polled_at") < "1997", F.substring("polled_at", 1, 4)
+    archive.append(polls.filter(~old), f"{root}/hot", "polls")
+    cold = polls.filter(old)
+    years = ["1992", "1993", "1994", "1995", "1996"]
+    tiering.export_days(cold.filter("poll_id % 3 = 0"), f"{root}/cold", "polls", years[:3], year)
+    # what is there is not written again
+    tiering.export_days(cold, f"{root}/cold", "polls", years, year)
+    month = F.substring("polled_at", 1, 7).alias("month")
+    return archive.read_all(spark, f"{root}/hot", f"{root}/cold", "polls").groupBy("feed", month).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("poll_id").alias("polls"), F.min("poll_id").alias("first"), F.sum("n_calls").alias("n_calls")
+    )
 
 
 @query("q15_hash_sample", "select event_type, count(*) as n from events where lower(right(to_hex(event_id), 1)) in ('0', '1', '2', '3') group by all")
@@ -236,9 +258,10 @@ def q15(spark, sf_dir):
     return events(spark, sf_dir).filter(fn.sampled(F.hex("event_id"), 4)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q16_source_prefix", "select split_part(p_type, ' ', 1) as source, count(*) as n from part where instr(p_type, ' ') > 1 group by all")
+@query("q16_source_prefix", "select event_type as source, count(*) as n from events where event_id % 4 > 0 group by all")
 def q16(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(fn.prefix_before(F.col("p_type"), " ").alias("source")).agg(F.count(F.lit(1)).alias("n")).filter("source != ''")
+    ref = F.when(F.col("event_id") % 4 > 0, F.concat_ws(":", "event_type", F.lit("Line"), "user_id")).otherwise(F.col("event_type"))
+    return evaluate.source_counts(events(spark, sf_dir).withColumn("line_ref", ref))
 
 
 @query(
@@ -378,12 +401,26 @@ def q25(spark, sf_dir):
 
 
 @query(
-    "q26_json_props",
-    "select event_type, count(*) as n, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as k_sum, count(json_extract(props, '$.missing')) as missing from events group by all",
+    "q26_forecasts",
+    """with h as (select event_id, event_type, value, ts + to_hours(cast(k as integer)) as t, k from events, unnest([0, 5, 23, 26, 2]) as u(k))
+    select event_type, strftime(t, '%H') as hour, count(*) as n, round(sum(value + k), 4) as air_temp, round(sum(0.5 * k), 4) as precip_mm, count(case when k > 2 then 1 end) as winds from h where k < 24 and k <> 2 group by all""",
 )
 def q26(spark, sf_dir):
-    p = F.from_json("props", "k bigint, missing string")
-    return events(spark, sf_dir).select("event_type", p.alias("p")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k_sum"), F.count("p.missing").alias("missing"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    ev = events(spark, sf_dir)
+
+    def entry(k: int):
+        now = F.struct((F.col("value") + k).alias("air_temperature"), F.when(F.lit(k) > 2, F.lit(1.5)).alias("wind_speed"))
+        nxt = F.struct(F.struct(F.lit("rain").alias("symbol_code")).alias("summary"), F.struct(F.lit(0.5 * k).alias("precipitation_amount")).alias("details"))
+        return F.struct(iso(F.timestamp_add("HOUR", F.lit(k), "at")).alias("time"), F.struct(F.struct(now.alias("details")).alias("instant"), nxt.alias("next_1_hours")).alias("data"))
+
+    # reading stops at the first entry beyond a day, whatever follows
+    body = F.to_json(F.struct(F.struct(F.array(*[entry(k) for k in (0, 5, 23, 26, 2)]).alias("timeseries")).alias("properties")))
+    # one document per poll: polls of one moment differ by their id
+    rows = feeds.forecast_rows(ev.select(F.concat(iso("at"), F.lit("|"), "event_id", F.lit("|"), "event_type").alias("key"), iso("at").alias("polled_at"), body.alias("body")), 59.9, 10.7, key="key")
+    return rows.groupBy(F.element_at(F.split("key", r"\|"), 3).alias("event_type"), F.substring("forecast_time", 12, 2).alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("air_temp"), 4).alias("air_temp"), F.round(F.sum("precip_mm"), 4).alias("precip_mm"), F.count("wind_mps").alias("winds")
+    )
 
 
 @query(

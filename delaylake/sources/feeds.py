@@ -106,16 +106,22 @@ FORECAST = (
 )
 
 
-def forecast_rows(documents: DataFrame, lat: float, lon: float, hours: int = 24) -> DataFrame:
-    """Forecasts of ``polled_at, body`` documents up to ``hours`` ahead; reading stops at the first entry beyond."""
+def forecast_rows(documents: DataFrame, lat: float, lon: float, hours: int = 24, key: str = "polled_at") -> DataFrame:
+    """Forecasts of ``polled_at, body`` documents up to ``hours`` ahead; reading stops at the first entry beyond.
+
+    ``key`` names a document, and comes first in the rows.
+    """
     doc = F.from_json("body", FORECAST)
-    rows = documents.select("polled_at", F.posexplode(doc["properties"]["timeseries"]).alias("pos", "e"))
     limit = instant("polled_at") + F.make_interval(hours=F.lit(hours))
-    beyond = rows.filter(instant("e.time") > limit).groupBy("polled_at").agg(F.min("pos").alias("stop"))
-    kept = rows.join(beyond, "polled_at", "left").filter("stop is null or pos < stop")
+    names = list(dict.fromkeys([key, "polled_at"]))
+    # the entries before the first one beyond, within each document
+    listed = doc["properties"]["timeseries"]
+    beyond = F.array_position(F.transform(listed, lambda e: F.coalesce(instant(e["time"]) > F.col("_limit"), F.lit(False))), True)
+    ahead = F.when(F.col("_beyond") > 0, F.slice("_listed", F.lit(1), (F.col("_beyond") - 1).cast("int"))).otherwise(F.col("_listed"))
+    kept = documents.select(*names, limit.alias("_limit"), listed.alias("_listed"), "body").withColumn("_beyond", beyond).select(*names, F.explode(ahead).alias("e"))
     now, nxt = F.col("e.data.instant.details"), F.col("e.data.next_1_hours")
     return kept.select(
-        "polled_at", F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), F.col("e.time").alias("forecast_time"), now["air_temperature"].alias("air_temp"),
+        *names, F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), F.col("e.time").alias("forecast_time"), now["air_temperature"].alias("air_temp"),
         nxt["details"]["precipitation_amount"].alias("precip_mm"), now["wind_speed"].alias("wind_mps"), now["wind_from_direction"].alias("wind_dir"), nxt["summary"]["symbol_code"].alias("symbol"),
     )
 

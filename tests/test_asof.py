@@ -47,7 +47,7 @@ def test_last_by_other(world, spark):
 @pytest.mark.parametrize("earliest", [False, True])
 def test_nearest_within(world, earliest):
     facts, probes, f, p = world
-    got = {r.pid: r.fid for r in asof.nearest_within(p, f, ["k"], "pt", "ft", 3000.0, ["fid"], "pid", earliest).collect()}
+    got = {r.pid: r.fid for r in asof.nearest_within(p, f, ["k"], "pt", "ft", 3000.0, ["fid"], earliest, slice_seconds=50_000).collect()}
     for i, k, t in probes:
         near = [(ft, fid) for fk, ft, fid, _ in facts if fk == k and abs(ft - t) <= 3000]
         if earliest:
