@@ -222,3 +222,37 @@ def load_point(spark, path: str) -> Fitted:
     features = [r["feature"] for r in meta]
     words = {c: spark.read.parquet(f"{path}/vocabulary/{c}") for c in CATEGORIES if c in features}
     return Fitted(features, words, [PipelineModel.load(f"{path}/model").stages[0]], importances={r["feature"]: r["share"] for r in meta})
+
+
+def save_quantile(fitted: Fitted, path: str) -> None:
+    """Trees, leaf values, vocabularies and the feature list of one quantile model."""
+    spark = SparkSession.active()
+    PipelineModel([tree for tree, _ in fitted.stages]).write().overwrite().save(f"{path}/trees")
+    leaves = [(i, float(leaf), float(v)) for i, (_, values) in enumerate(fitted.stages) for leaf, v in values.items()]
+    spark.createDataFrame(leaves, "stage int, leaf double, value double").write.mode("overwrite").parquet(f"{path}/leaves")
+    for name, words in fitted.vocabularies.items():
+        words.write.mode("overwrite").parquet(f"{path}/vocabulary/{name}")
+    rate = float(fitted.rates[0]) if fitted.rates else 0.0
+    meta = [(i, f, float(fitted.base), rate) for i, f in enumerate(fitted.features)]
+    spark.createDataFrame(meta, "pos int, feature string, base double, rate double").write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_quantile(spark, path: str) -> Fitted:
+    meta = spark.read.schema("pos int, feature string, base double, rate double").json(f"{path}/meta").orderBy("pos").collect()
+    features = [r["feature"] for r in meta]
+    words = {c: spark.read.parquet(f"{path}/vocabulary/{c}") for c in CATEGORIES if c in features}
+    values: dict[int, dict[float, float]] = {}
+    for r in spark.read.parquet(f"{path}/leaves").collect():
+        values.setdefault(r["stage"], {})[r["leaf"]] = r["value"]
+    trees = PipelineModel.load(f"{path}/trees").stages
+    return Fitted(features, words, [(t, values[i]) for i, t in enumerate(trees)], meta[0]["base"], [meta[0]["rate"]] * len(trees))
+
+
+def save_ladder(fitted: dict[float, Fitted], path: str) -> None:
+    """All quantile models, a folder for each level."""
+    for level, model in fitted.items():
+        save_quantile(model, f"{path}/level={level}")
+
+
+def load_ladder(spark, path: str, levels: list[float]) -> dict[float, Fitted]:
+    return {level: load_quantile(spark, f"{path}/level={level}") for level in levels}

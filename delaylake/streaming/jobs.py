@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from delaylake.sources.archive import TABLES
+from delaylake.sources.archive import TABLES, poll_groups, raw_files
 from delaylake.sources.feeds import JOURNEY, journey_calls
 
 
@@ -35,7 +35,7 @@ def maintained_buckets(stream: DataFrame, keys: list[str], at: str, value: str,
 
 
 def ingest(spark: SparkSession, raw: str, lines: DataFrame, modes: list[str], root: str, checkpoint: str) -> DataStreamWriter:
-    """New XML files below ``raw`` into the hot tier's calls and polls, each file one poll.
+    """New XML files below ``raw`` into the hot tier's calls and polls; pages (``_p1``, ``_p2`` ...) that arrive together are one poll.
 
     Exactly the files of a batch are read once; a batch that is run again after a
     failure overwrites its own folder, so nothing is stored twice.
@@ -44,19 +44,26 @@ def ingest(spark: SparkSession, raw: str, lines: DataFrame, modes: list[str], ro
     stream = stream.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        calls = journey_calls(batch).withColumns({"poll_id": F.abs(F.xxhash64("path")), "polled_at": F.date_format("arrived", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")})
+        files = batch.groupBy("path").agg(F.min("arrived").alias("arrived")).persist()
+        pages = poll_groups(raw_files(files.select("path"))).select("dataset", F.col("pages").cast("long").alias("pages"), F.get("paths", F.lit(0)).alias("first"), F.explode("paths").alias("path"))
+        groups = pages.join(files, "path").groupBy("first", "dataset", "pages").agg(F.min("arrived").alias("arrived"), F.collect_list("path").alias("paths"))
+        groups = groups.select(
+            F.abs(F.xxhash64("first")).alias("poll_id"), F.date_format("arrived", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("polled_at"), "dataset", "pages", "paths"
+        ).persist()
+        calls = journey_calls(batch.drop("arrived")).join(groups.select("poll_id", "polled_at", F.explode("paths").alias("path")), "path")
         kept = calls.join(lines.filter(F.col("mode").isin(modes)).select("line_ref"), "line_ref", "left_semi").persist()
-        known = calls.groupBy("poll_id", "polled_at").agg(F.countDistinct("journey_ref").alias("all"))
+        every = calls.groupBy("poll_id").agg(F.countDistinct("journey_ref").alias("all"))
         counts = kept.groupBy("poll_id").agg(F.countDistinct("journey_ref").alias("n_journeys"), F.count(F.lit(1)).alias("n_calls"))
         none = lambda kind: F.lit(None).cast(kind)
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        polls = known.join(counts, "poll_id", "left").select(
-            "poll_id", "polled_at", F.lit("et").alias("feed"), none("string").alias("dataset"), F.lit(1).cast("long").alias("pages"), zero("n_journeys").alias("n_journeys"),
-            zero("n_calls").alias("n_calls"), (F.col("all") - zero("n_journeys")).cast("long").alias("n_dropped"), none("long").alias("duration_ms"), none("string").alias("error"),
+        polls = groups.join(every, "poll_id", "left").join(counts, "poll_id", "left").select(
+            "poll_id", "polled_at", F.lit("et").alias("feed"), "dataset", "pages", zero("n_journeys").alias("n_journeys"),
+            zero("n_calls").alias("n_calls"), (zero("all") - zero("n_journeys")).cast("long").alias("n_dropped"), none("long").alias("duration_ms"), none("string").alias("error"),
         )
         for table, rows in (("calls", kept), ("polls", polls)):
             rows.select(*TABLES[table].fieldNames()).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table}/batch={batch_id}")
-        kept.unpersist()
+        for held in (kept, groups, files):
+            held.unpersist()
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 

@@ -13,6 +13,7 @@ from scenarios import three_polls
 from delaylake import schemas
 from delaylake.functions import temporal as fn
 from delaylake.operators import evaluate, health, models, serving, tiering
+from delaylake.operators import jobs as archive_jobs
 from delaylake.sources import archive, feeds
 from delaylake.streaming import jobs
 
@@ -139,6 +140,18 @@ def test_compaction(spark, tmp_path):
     assert archive.read_tier(spark, hot, "calls").count() == 10
     assert archive.read_tier(spark, cold, "calls", days=["2026-07-20"]).count() == 10
     assert tiering.compact(spark, hot, cold, "2026-07-25", keep_days=1).days == []
+    # a late row of a day that is there is added, rows without a time stay, and what is there is not written again
+    late = archive.read_tier(spark, cold, "calls").limit(1).withColumn("stop_name", F.lit("late")).unionByName(archive.read_tier(spark, cold, "calls").limit(1))
+    archive.append(late, hot, "calls")
+    archive.append(late.withColumn("polled_at", F.lit(None).cast("string")), hot, "calls")
+    archive.append(old(poll_rows).limit(1), hot, "polls")
+    assert tiering.compact(spark, hot, cold, "2026-07-25", keep_days=1).rows == {"calls": 1, "polls": 0, "weather": 0}
+    assert archive.read_tier(spark, cold, "calls", days=["2026-07-20"]).count() == 11
+    assert archive.read_tier(spark, hot, "calls").filter("polled_at is null").count() == 2 and archive.read_tier(spark, hot, "calls").count() == 12
+    # broken off between the renames
+    os.rename(f"{hot}/calls", f"{hot}/calls.old")
+    assert tiering.compact(spark, hot, cold, "2026-07-25", keep_days=1).days == []
+    assert archive.read_tier(spark, hot, "calls").count() == 12
     os.makedirs(f"{tmp_path}/raw/2000-01-01")
     assert tiering.prune_days(spark, f"{tmp_path}/raw", "2026-01-01") == ["2000-01-01"]
 
@@ -247,6 +260,10 @@ def test_models(spark, rows, tmp_path):
     covered = both.agg(evaluate.coverage(F.col("label_delay_sec"), F.col("pred_low_sec"), F.col("pred_high_sec")).alias("c"), F.avg((F.col("pred_low_sec") > F.col("pred_high_sec")).cast("int")).alias("x")).first()
     assert 0.65 < covered["c"] < 0.95 and covered["x"] == 0
     rungs = models.with_ladder(valid, {0.9: high, 0.1: low})
+    models.save_ladder({0.9: high, 0.1: low}, f"{tmp_path}/ladder")
+    loaded = models.load_ladder(spark, f"{tmp_path}/ladder", [0.1, 0.9])
+    total = F.sum(F.col("ladder")[0] + 3 * F.col("ladder")[1])
+    assert abs(models.with_ladder(valid, loaded).agg(total).first()[0] - rungs.agg(total).first()[0]) < 1e-6
     assert rungs.filter("ladder[0] > ladder[1] or size(ladder) <> 2").count() == 0
     assert evaluate.pit_histogram(rungs, "ladder", "label_delay_sec", [0.1, 0.9]).agg(F.sum("n")).first()[0] == valid.count()
 
@@ -285,3 +302,69 @@ def test_ingest_of_new_files(spark, tmp_path):
         jobs.ingest(spark, str(raw), lines, ["tram"], root, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         assert archive.read_tier(spark, root, "calls").select("journey_ref").distinct().count() == n
     assert archive.read_tier(spark, root, "polls").agg(F.sum("n_calls")).first()[0] == 2
+
+
+def test_pages_of_one_poll(spark, tmp_path):
+    raw, root = tmp_path / "raw" / "2026-07-25", f"{tmp_path}/hot"
+    raw.mkdir(parents=True)
+    lines = spark.createDataFrame([("RUT:Line:12", "tram", "12", None, None, "t")], schemas.LINES)
+    for name in ("100000_RUT_p1", "100001_RUT_p2", "100030_VYG_p1"):
+        (raw / f"{name}.xml").write_text(xml_of(name))
+    jobs.ingest(spark, str(raw), lines, ["tram"], root, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.dataset, r.pages, r.n_journeys, r.n_calls) for r in archive.read_tier(spark, root, "polls").collect()) == [("RUT", 2, 2, 2), ("VYG", 1, 1, 1)]
+
+
+def xml_of(ref):
+    return f'<?xml version="1.0"?><Siri {NS}>{journey(f"<DatedVehicleJourneyRef>J{ref}</DatedVehicleJourneyRef>", "<EstimatedCalls><EstimatedCall><StopPointRef>Q</StopPointRef><Order>1</Order></EstimatedCall></EstimatedCalls>")}</Siri>'
+
+
+def test_backfill_widen_and_repair(spark, tmp_path):
+    raw, hot, cold = tmp_path / "raw" / "2026-07-25", f"{tmp_path}/hot", f"{tmp_path}/cold"
+    raw.mkdir(parents=True)
+    for name in ("100000_RUT_p1", "100001_RUT_p2", "101000_RUT_p1"):
+        (raw / f"{name}.xml").write_text(xml_of(name))
+    lines = lambda mode: spark.createDataFrame([("RUT:Line:12", mode, "12", None, None, "t")], schemas.LINES)
+    known = spark.createDataFrame([(7, "2026-07-25T10:10:20+00:00", "et", "RUT", 1, 0, 0, 1, 1, None)], schemas.POLLS)
+    archive.append(known, hot, "polls")
+    folder = str(tmp_path / "raw")
+    plan = archive_jobs.backfill(spark, folder, hot, cold, lines("tram"), ["tram"], dry_run=True)
+    assert (plan.found, plan.skipped, plan.rows) == (1, 1, {}) and archive.read_tier(spark, hot, "calls").count() == 0
+    done = archive_jobs.backfill(spark, folder, hot, cold, lines("tram"), ["tram"])
+    assert (done.found, done.rows) == (1, {"calls": 2, "polls": 1})
+    assert archive_jobs.backfill(spark, folder, hot, cold, lines("tram"), ["tram"]).found == 0
+    assert {(r.pages, r.n_journeys) for r in archive.read_tier(spark, hot, "polls").filter("poll_id <> 7").collect()} == {(2, 2)}
+    # another mode joins the polls that are known
+    assert archive_jobs.widen(spark, folder, hot, cold, lines("bus"), ["bus"]).rows == {"calls": 1}
+    assert archive_jobs.widen(spark, folder, hot, cold, lines("bus"), ["bus"]).rows == {"calls": 0}
+    assert {(r.n_journeys, r.n_calls, r.n_dropped) for r in archive.read_tier(spark, hot, "polls").filter("poll_id = 7").collect()} == {(1, 1, 0)}
+    # a compacted day is closed to both, and repaired as a whole
+    tiering.compact(spark, hot, cold, "2026-08-05", keep_days=1)
+    for job in (archive_jobs.backfill, archive_jobs.widen):
+        with pytest.raises(ValueError, match="compacted"):
+            job(spark, folder, hot, cold, lines("tram"), ["tram"])
+    assert archive_jobs.repair(spark, folder, cold, "2026-07-25", lines("tram"), ["tram"], dry_run=True).rows == {"calls": 3}
+    fixed = archive_jobs.repair(spark, folder, cold, "2026-07-25", lines("tram"), ["tram"])
+    assert (fixed.before, fixed.dropped, fixed.added, fixed.after) == (3, 3, 3, 3)
+
+
+def test_backfill_of_situations(spark, tmp_path):
+    raw, hot = tmp_path / "raw" / "2026-07-25", f"{tmp_path}/hot"
+    raw.mkdir(parents=True)
+    one = "<PtSituationElement><SituationNumber>S1</SituationNumber><Affects><LineRef>L2</LineRef><LineRef>L1</LineRef></Affects></PtSituationElement>"
+    (raw / "100000_p1.xml").write_text(f'<?xml version="1.0"?><Siri {NS}>{one}</Siri>')
+    assert archive_jobs.backfill_situations(spark, str(tmp_path / "raw"), hot, dry_run=True).found == 1
+    assert archive_jobs.backfill_situations(spark, str(tmp_path / "raw"), hot).rows == {"situations": 2}
+    assert archive_jobs.backfill_situations(spark, str(tmp_path / "raw"), hot).found == 0
+    assert {(r.polled_at[:19], r.line_ref) for r in archive.read_tier(spark, hot, "situations").collect()} == {("2026-07-25T10:00:00", "L1"), ("2026-07-25T10:00:00", "L2")}
+
+
+def test_training_table_is_rebuilt(spark, tmp_path):
+    hot, cold, target = f"{tmp_path}/hot", f"{tmp_path}/cold", f"{tmp_path}/training"
+    calls, weather, situations = three_polls(spark)
+    for name, df in (("calls", calls), ("weather", weather), ("situations", situations)):
+        archive.append(df, hot, name)
+    for _ in range(2):
+        assert archive_jobs.rebuild_training(spark, hot, cold, target) == {"2026-07-25": 3}
+        rows = archive_jobs.training_rows(spark, target, days=["2026-07-25"])
+        assert rows.columns == schemas.TRAINING_ROWS.fieldNames() and rows.count() == 3
+    assert not os.path.exists(f"{target}.new") and not os.path.exists(f"{target}.old")
