@@ -17,15 +17,19 @@ back these two.
 
 Defined results: null is the empty text; the empty text has no pieces; signs
 outside the vocabulary become byte pieces; decoding gives back every text
-exactly. Rows of one doc_id are encoded each on its own; an empty table gives
+exactly. Words with several marks in front (runs of spaces, where marks merge with
+each other) are encoded merge by merge from a queue, in time n log n. Rows of one doc_id are encoded each on its own; an empty table gives
 an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,8 @@ from .common import ship, table, texts_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CACHE_WORDS = 400_000
+LONG_WORD = 256
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -55,6 +61,7 @@ class Vocabulary:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        self.token = uuid.uuid4().hex
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
@@ -73,47 +80,58 @@ class Vocabulary:
                 if len(parts) == 2:
                     self.split[p] = (parts[0], parts[1])
         #: pieces that encoding can give
-        self.usable = {p for p in order if len(p) == 1 or p in self.split}
+        usable = [p for p in order if len(p) == 1 or p in self.split]
+        self.piece_id = {p: self.id_of[p] for p in usable}
         known = set(plain)
+        self.names = names
         self.text_of = [p.replace(MARK, " ") if i in known else "" for i, p in enumerate(names)]
         lengths: dict[str, set[int]] = {}
-        for p in self.usable:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        #: lengths of the pieces that end with these two signs; a single sign is tried last
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        for p in usable:
+            for tail in {p[-2:], p[-3:]} if len(p) > 1 else ():
+                lengths.setdefault(tail, set()).add(len(p))
+        #: lengths of the pieces that end with these three signs (two where no longer one does), longest first; a single sign is tried last
+        self.lengths = {k: tuple(sorted(v if len(k) == 2 else v | lengths.get(k[1:], set()) & {2}, reverse=True)) for k, v in lengths.items()}
+        self.lengths = {k: tuple(n for n in v if n == 2) if len(k) == 2 else v for k, v in self.lengths.items()}
 
     def merged(self, word: str, last: bool = False) -> list[str]:
-        """Merge by merge, the definition; ``last`` stops before a merge that would leave one piece."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best[0]):
-                    best = (s, i)
-            if best is None or (last and len(parts) == 2):
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
+        """Merge by merge, the definition; ``last`` stops before a merge that would leave one piece.
+
+        Possible merges wait in a queue, the best score first, of equals the leftmost.
+        """
+        part, n, score = list(word), len(word), self.score
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(-s, i, 1, 1) for i in range(n - 1) if (s := score.get(word[i : i + 2])) is not None]
+        heapq.heapify(queue)
+        count = n
+        while queue and not (last and count == 2):
+            _, i, a, b = heapq.heappop(queue)
+            j = right[i]
+            if len(part[i]) != a or j >= n or len(part[j]) != b:
+                continue
+            part[i] += part[j]
+            part[j] = ""
+            count -= 1
+            right[i] = after = right[j]
+            if after < n:
+                left[after] = i
+                if (s := score.get(part[i] + part[after])) is not None:
+                    heapq.heappush(queue, (-s, i, len(part[i]), len(part[after])))
+            if (before := left[i]) >= 0 and (s := score.get(part[before] + part[i])) is not None:
+                heapq.heappush(queue, (-s, before, len(part[before]), len(part[i])))
+        return [p for p in part if p]
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.names = list(vocabulary.names)
+        #: signs outside the vocabulary, numbered behind it
+        self.foreign: dict[str, int] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether ``left + right`` encodes as these two pieces."""
-        key = (left, right)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            found = self.fits[key] = self._compatible(left, right)
-        return found
-
     def _compatible(self, left: str, right: str) -> bool:
+        """Whether ``left + right`` encodes as these two pieces."""
         rank, split = self.v.rank, self.v.split
         limit = 1 << 60
         a, b = left, right
@@ -132,37 +150,61 @@ class Encoder:
             else:
                 return True
 
+    def _sign(self, sign: str) -> int:
+        """The number of a sign that stands alone."""
+        found = self.v.piece_id.get(sign)
+        if found is None:
+            found = self.foreign.get(sign)
+            if found is None:
+                found = self.foreign[sign] = len(self.names)
+                self.names.append(sign)
+        return found
+
     def words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids (16-bit, little-endian) of distinct marked words: depth-first over their trie."""
-        usable, lengths, compatible = self.v.usable, self.v.lengths, self.compatible
+        """Ids (16-bit, little-endian) of distinct marked words, none with a run of marks: depth-first over their trie."""
+        piece_id, lengths, names, fits, compatible, n_ids = self.v.piece_id.get, self.v.lengths.get, self.names, self.fits, self._compatible, len(self.v.names)
+        if len(fits) > 500_000:
+            fits.clear()
         out: dict[str, bytes] = {}
-        states = [""]
+        # of each prefix the last piece and its length
+        states, sizes = [-1], [0]
         before = ""
         for word in sorted(words):
             shared = 0
-            top = min(len(before), len(word))
-            while shared < top and before[shared] == word[shared]:
+            for x, y in zip(before, word):
+                if x != y:
+                    break
                 shared += 1
-            del states[shared + 1 :]
+            del states[shared + 1 :], sizes[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                state = word[end - 1]
-                for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                    if n <= end and (piece := word[end - n : end]) in usable:
+                for n in lengths(word[end - 3 : end] if end > 2 else word[:end]) or lengths(word[end - 2 : end], ()) if end > 1 else ():
+                    if n <= end and (i := piece_id(word[end - n : end])) is not None:
                         prior = states[end - n]
-                        if not prior or compatible(prior, piece):
-                            state = piece
-                            break
-                states.append(state)
+                        if prior >= 0:
+                            key = prior << 32 | i
+                            fit = fits.get(key)
+                            if fit is None:
+                                fit = fits[key] = compatible(names[prior], names[i])
+                            if not fit:
+                                continue
+                        states.append(i)
+                        sizes.append(n)
+                        break
+                else:
+                    i = piece_id(word[end - 1])
+                    states.append(self._sign(word[end - 1]) if i is None else i)
+                    sizes.append(1)
             before = word
-            parts = []
+            ids: list[int] = []
             end = len(word)
             while end:
-                parts.append(states[end])
-                end -= len(states[end])
-            out[word] = self.ids(reversed(parts))
+                ids.append(states[end])
+                end -= sizes[end]
+            ids.reverse()
+            out[word] = array("H", ids).tobytes() if max(ids) < n_ids else self.ids([names[i] for i in ids])
         return out
 
-    def ids(self, parts) -> bytes:
+    def ids(self, parts: list[str]) -> bytes:
         id_of, byte_id = self.v.id_of, self.v.byte_id
         out: list[int] = []
         for p in parts:
@@ -171,21 +213,27 @@ class Encoder:
                 out.append(i)
             else:
                 out += [byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype="<u2").tobytes()
+        return array("H", out).tobytes()
 
     def _look_up(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = words
-            self.known |= self.words(new)
-        return [self.known[w] for w in words]
+        """Of marked words their ids; those of short words are remembered."""
+        known = self.known
+        new = {w for w in words if w not in known}
+        if not new:
+            return [known[w] for w in words]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(words)
+        runs = {w for w in new if w[1:2] == MARK}
+        found = self.words(list(new - runs))
+        found.update((w, self.ids(self.v.merged(w))) for w in runs)
+        out = [found[w] if w in found else known[w] for w in words]
+        known.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
+        return out
 
     def one(self, text: str) -> bytes:
-        """A text with runs of marks, where marks may merge: by merges, word by word."""
-        marked = MARK + text.replace(" ", MARK)
-        return b"".join(self.ids(self.v.merged(w)) for w in re.findall(f"{MARK}+[^{MARK}]*", marked)) if text else b""
+        """A text with runs of marks, word by word."""
+        return b"".join(self._look_up(_WORD.findall(MARK + text.replace(" ", MARK)))) if text else b""
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
@@ -214,6 +262,18 @@ class Encoder:
         return ids, upto[offsets[1:] - 1] if n else np.zeros(0, dtype=np.int64)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary) -> Encoder:
+    """One for each worker process and broadcast vocabulary, so that what it remembers outlives a task."""
+    found = _ENCODERS.get(vocabulary.value.token)
+    if found is None:
+        _ENCODERS.clear()
+        found = _ENCODERS[vocabulary.value.token] = Encoder(vocabulary.value)
+    return found
+
+
 class Decoder:
     def __init__(self, vocabulary: Vocabulary):
         self.text_of = vocabulary.text_of
@@ -252,7 +312,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces", ch
     names = docs.columns + [column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(vocabulary.value), Decoder(vocabulary.value)
+        encoder, decoder = _encoder(vocabulary), Decoder(vocabulary.value)
         for batch in text_pieces(batches, 8 << 20):
             texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
             ids, ends = encoder.batch(texts)
@@ -288,7 +348,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(vocabulary.value), Decoder(vocabulary.value)
+        encoder, decoder = _encoder(vocabulary), Decoder(vocabulary.value)
         for batch in text_pieces(batches, 8 << 20):
             texts = batch.column(1).cast(pa.string())
             ids, ends = encoder.batch(texts)
