@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark windows go."""
+    """Documents that hold 13 words in a row of a benchmark item go, however long they are (shorter items: a twentieth of their words)."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
