@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,13 +41,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The run's own folder below ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a single machine), a temporary folder
-    takes its place.
+    Where the setting is absent, a temporary folder takes its place, in local mode alone.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="delaylake-")
         root = f"{base.rstrip('/')}/delaylake-{uuid.uuid4().hex}"
         _ROOTS[app] = root

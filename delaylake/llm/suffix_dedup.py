@@ -2,7 +2,7 @@
 
 A string of ``length`` bytes is removed wherever it also starts somewhere else.
 :func:`by_doubling` is the method in its plain form: the rank pairs of all positions
-are sorted at growing offsets, and unique positions leave. It moves some hundred bytes
+are sorted at growing offsets, and unique positions leave. It moves some forty bytes
 for each byte of text (figures in the README), so what the query runs ranks only
 positions that anchors cannot settle:
 
