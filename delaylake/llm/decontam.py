@@ -59,7 +59,8 @@ def windows_of(text: str, window: int = WINDOW) -> list[bytes]:
 
 def line_of(text: str) -> str:
     """The words with a space before, between and behind them."""
-    return " " + "".join([w.decode("latin-1") + " " for w in words_of(text)])
+    words = words_of(text)
+    return " " + b" ".join(words).decode("latin-1") + " " if words else " "
 
 
 class Scanner:
