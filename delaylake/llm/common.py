@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Where it is set, Spark removes the shuffle files of a statement when that ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,11 +71,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a table read from there."""
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as a table read from there.
+
+    With ``release`` the shuffle files behind it go once it is written; else they
+    stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -392,7 +392,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int =
             ((F.col("flag") != settled_) & (F.col("least") == 1) & ((F.col("n2") == 1) | (F.col("nth") == 1))).alias("edge"),
         )
     )
-    ranked = stored(ranked.filter("known or edge"), "runs")
+    # the sort of all runs moves more than any later step; its files go before those are written
+    ranked = stored(ranked.filter("known or edge"), "runs", release=True)
     extra = F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     known = ranked.filter("known").select("doc_id", "key", F.shiftleft(F.shiftright("place", 20), 20).bitwiseOR(extra).alias("span"))
     place = F.when(F.col("known"), F.col("place").bitwiseOR(F.lit(SPEAKS))).otherwise(F.col("place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -16,7 +17,7 @@ from compare import differences
 from pyspark.sql import functions as F
 
 from delaylake.llm import ann, decontam, entries, pii, secrets, simhash, sp_codec, suffix_dedup, token_store, toxicity, url_filter
-from delaylake.llm.common import bounded_sample
+from delaylake.llm.common import RELEASE, bounded_sample, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -396,6 +397,28 @@ def test_shared_words_of_real_texts(spark, docs):
     assert [got[d].n_shared_words for d in docs.doc_id] == slow_shared_words(docs.text.tolist(), 50)
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {files.apply(i).getName() for i in range(files.size())}
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_shuffle_of_the_runs_goes_once_they_are_stored(spark, docs):
+    before = shuffle_files(spark)
+    df = spark.createDataFrame(docs).select("doc_id", "text")
+    kept = stored(df.repartition(3), "kept")
+    assert shuffle_files(spark) - before
+    before |= shuffle_files(spark)
+    found = suffix_dedup.spans(suffix_dedup._keyed(df))
+    for _ in range(50):  # executors are told, not waited for
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(RELEASE, None) is None
+    assert found.count() > 0 and kept.count() == len(docs)
+
+
 def test_runs_across_blocks(spark, monkeypatch):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcd") for _ in range(5))
