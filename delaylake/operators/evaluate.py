@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from delaylake.functions.temporal import horizon_band, ladder_probability, prefix_before
 
 BANDS = ("00-05", "05-10", "10-20", "20-45")
+#: what :func:`horizon_report` reads of a row
+REPORTED = ("horizon_sec", "label_delay_sec", "current_delay_sec", "entur_pred_delay_sec")
 RAIL = ("VYG", "GOA", "SJN", "FLT")
 LEVELS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 

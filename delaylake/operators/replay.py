@@ -1,8 +1,8 @@
 """Replay of an archive into feature rows: what was known at each poll, never later.
 
 One row per (snapshot, stop ahead). A snapshot is one journey in one poll. The
-plan is relational throughout: vehicle state is one aggregate, labels one
-aggregate and an equi-join, history frames over closed buckets, forecasts and
+plan is relational throughout: vehicle state and labels are windows over one
+exchange by journey, history frames over closed buckets, forecasts and
 situations as-of windows, and slack a running sum along each snapshot's edges.
 """
 
@@ -16,10 +16,11 @@ from delaylake.schemas import TRAINING_ROWS
 
 from .asof import as_of, closed_mean_table, closed_means, in_force, joined, last_by_other
 from .cut import cut
-from .history import LEAST_FOR_TYPICAL, History, history
+from .history import BUCKET_SECONDS, LEAST_FOR_TYPICAL, History, history
 from .ordered import unbroken_sums
 
-SNAPSHOT = ["journey_ref", "operating_date", "polled_at", "poll_id"]
+TRIP = ["journey_ref", "operating_date"]
+SNAPSHOT = [*TRIP, "polled_at", "poll_id"]
 TREND_STOPS = 3
 
 
@@ -45,80 +46,69 @@ def _timed(calls: DataFrame) -> DataFrame:
     )
 
 
-def service_dates(calls: DataFrame) -> DataFrame:
-    """Of every journey its operating date, or where the feed has none the own date of its earliest aimed time."""
-    earliest = F.min_by(own_date(F.col("aimed_text")), F.struct("aimed", "aimed_text"))
-    return calls.groupBy("journey_ref", "operating_date").agg(earliest.alias("_first")).select(
-        "journey_ref", "operating_date", F.coalesce("operating_date", "_first").alias("service_date")
-    )
-
-
-def labels(calls: DataFrame) -> DataFrame:
-    """Of every (journey, date, order) the last seen actual time, and when it was last seen."""
-    last = F.struct("polled", "polled_at", "poll_id")
-    return (
-        calls.filter((F.col("call_type") == "recorded") & F.col("actual").isNotNull())
-        .groupBy("journey_ref", "operating_date", "order_no")
-        .agg(F.max_by(F.struct("actual", "actual_text"), F.struct(last, "actual")).alias("truth"), F.max(last).alias("known"))
-    )
+def in_context(calls: DataFrame) -> DataFrame:
+    """Rows (:func:`_timed`) of running, uncancelled snapshots, each with what its journey, its stop and its snapshot tell.
 
-
-def vehicle_states(calls: DataFrame) -> DataFrame:
-    """One row per snapshot of a running, uncancelled journey.
-
-    Current stop and delay, trend over at least three stops, staleness, when the
-    current stop was to be left, and the snapshot's stops in order.
+    Of the journey ``service_date``: its operating date, or where the feed has none
+    the own date of its earliest aimed time. Of the stop ``truth``, the last seen
+    actual time, and ``known``, when it was last seen. Of the snapshot current stop
+    and delay, trend over at least three stops, staleness, and when the current stop
+    was to be left. All are windows over one exchange by journey: no row is copied,
+    grouped and joined back, and what nobody asks for falls out of the plan.
     """
+    stop, journey = Window.partitionBy(*TRIP, "order_no"), Window.partitionBy(*TRIP)
+    whole = Window.partitionBy(*SNAPSHOT).orderBy("order_no", "call_type", "stop_ref").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     recorded = F.col("call_type") == "recorded"
+    last = F.struct("polled", "polled_at", "poll_id").alias("known")
+    label = F.when(recorded & F.col("actual").isNotNull(), F.struct(last, F.struct("actual", "actual_text").alias("truth")))
+    rows = calls.repartition("journey_ref").withColumn("_label", F.max(label).over(stop))
+    earliest = F.min_by(own_date(F.col("aimed_text")), F.struct("aimed", "aimed_text")).over(journey)
+    rows = rows.withColumn("service_date", F.coalesce("operating_date", earliest))
+
     delay = F.when(recorded, secs(F.col("actual"), F.col("aimed")))
-    first = lambda c: F.min_by(c, F.struct("order_no", "call_type", "stop_ref"))
     seen = F.when(delay.isNotNull(), F.struct(F.col("order_no").alias("order"), delay.alias("delay"), F.col("actual").alias("actual")))
-    state = calls.groupBy(*SNAPSHOT).agg(
-        F.first("polled").alias("polled"),
-        first("cancelled").alias("cancelled"),
-        first("recorded_at").alias("recorded_at"),
-        first("line_ref").alias("snapshot_line"),
-        F.sort_array(F.collect_list(seen)).alias("seen"),
-        F.collect_list(F.when(recorded, F.struct("order_no", "leaves"))).alias("left"),
-    )
-    state = state.filter((F.coalesce("cancelled", F.lit(0)) == 0) & (F.size("seen") > 0))
-    current = F.element_at("seen", -1)
-    state = state.select("*", current["order"].alias("current_order"), current["delay"].alias("current_delay_sec"), current["actual"].alias("current_actual"))
-    base = F.filter("seen", lambda x: x["order"] <= F.col("current_order") - TREND_STOPS)
-    cur = F.filter("left", lambda x: x["order_no"] == F.col("current_order"))
-    return state.select(
-        *SNAPSHOT, "polled", "current_order", "current_delay_sec", F.size("seen").cast("long").alias("n_recorded"), "snapshot_line",
-        F.when(F.size(base) > 0, F.col("current_delay_sec") - F.element_at(base, -1)["delay"]).alias("delay_trend_sec"),
-        secs(F.col("polled"), instant("recorded_at")).alias("obs_age_sec"),
-        secs(F.col("polled"), F.col("current_actual")).alias("since_last_stop_sec"),
-        F.get(cur, F.lit(0))["leaves"].alias("current_leaves"),
+    first = lambda c: F.first(c).over(whole)
+    rows = rows.withColumn("_seen", seen).withColumns({
+        "_cancelled": first("cancelled"), "_recorded_at": first("recorded_at"), "snapshot_line": first("line_ref"),
+        "_current": F.max("_seen").over(whole), "n_recorded": F.count("_seen").over(whole),
+    })
+    rows = rows.filter((F.coalesce("_cancelled", F.lit(0)) == 0) & F.col("_current").isNotNull())
+    rows = rows.withColumns({"current_order": F.col("_current.order"), "current_delay_sec": F.col("_current.delay")})
+    base = F.max(F.when(F.col("_seen.order") <= F.col("current_order") - TREND_STOPS, F.col("_seen"))).over(whole)
+    here = F.first(F.when(recorded & (F.col("order_no") == F.col("current_order")), F.struct("leaves")), ignorenulls=True).over(whole)
+    return rows.withColumns({"_base": base, "_here": here}).select(
+        *calls.columns, "_label.truth", "_label.known", "service_date", "snapshot_line", "current_order", "current_delay_sec", "n_recorded",
+        (F.col("current_delay_sec") - F.col("_base.delay")).alias("delay_trend_sec"),
+        secs(F.col("polled"), instant("_recorded_at")).alias("obs_age_sec"),
+        secs(F.col("polled"), F.col("_current.actual")).alias("since_last_stop_sec"),
+        F.col("_here.leaves").alias("current_leaves"),
     )
 
 
-def path_typicals(calls: DataFrame, states: DataFrame, past: History) -> DataFrame:
-    """Per (snapshot, order ahead) the typical runtime from the current stop there; no row where a piece is unknown.
+def path_typicals(placed: DataFrame, past: History) -> DataFrame:
+    """Per (snapshot, order ahead) of rows in their context the typical runtime from the current stop there; no row where a piece is unknown.
 
     One edge per pair of consecutive orders in the snapshot, one history lookup
     per edge, then a running sum and count: the path is whole where the count
     equals the stops travelled.
     """
-    stops = calls.groupBy(*SNAPSHOT, "order_no").agg(
-        F.max_by(F.struct("stop_ref", "line_ref", "direction"), F.struct(F.col("call_type") == "estimated", F.col("stop_ref"))).alias("at")
+    stops = placed.groupBy(*SNAPSHOT, "order_no").agg(
+        F.max_by(F.struct("stop_ref", "line_ref", "direction"), F.struct(F.col("call_type") == "estimated", F.col("stop_ref"))).alias("at"),
+        F.max("current_order").alias("current_order"),
     )
     trip = Window.partitionBy(*SNAPSHOT).orderBy("order_no")
     before = F.lag(F.struct("order_no", "at")).over(trip)
     edges = (
         stops.withColumn("_before", before)
         .filter((F.col("_before.order_no") == F.col("order_no") - 1) & F.col("_before.at.stop_ref").isNotNull() & F.col("at.stop_ref").isNotNull())
+        .filter("order_no > current_order")
         .select(
-            *SNAPSHOT, "order_no", F.col("at.line_ref").alias("line_ref"), F.col("at.direction").alias("direction"),
+            *SNAPSHOT, "order_no", "current_order", F.col("at.line_ref").alias("line_ref"), F.col("at.direction").alias("direction"),
             F.col("_before.at.stop_ref").alias("stop_from"), F.col("at.stop_ref").alias("stop_to"),
             bucket_of(instant("polled_at"), past.bucket_seconds).alias("bucket"),
         )
     )
-    mine = states.select(*[F.col(c).alias(f"_{c}") for c in SNAPSHOT], "current_order")
-    ahead = edges.join(mine, [edges[c].eqNullSafe(mine[f"_{c}"]) for c in SNAPSHOT]).filter("order_no > current_order").select(*edges.columns, "current_order")
-    ahead = cut(ahead, "edges")
+    ahead = cut(edges, "edges")
     known = closed_means(ahead, past.segments, ["line_ref", "direction", "stop_from", "stop_to"], "bucket", None, "typical", LEAST_FOR_TYPICAL)
     whole = unbroken_sums(known, SNAPSHOT, "order_no", "typical", F.col("order_no") - F.col("current_order"), "typical_sum")
     return whole.select(*SNAPSHOT, "order_no", "typical_sum")
@@ -165,46 +155,58 @@ def feature_rows(
     sample: int = 0,
     with_bunching: bool = False,
     require_label: bool = True,
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Training rows (or, without ``require_label``, live rows) in the stored column order.
 
     ``past`` is the history to look up (by default that of ``calls``, all of it:
-    sampling never thins history).
+    sampling never thins history). ``columns`` are those to return, by default all;
+    every row is there either way, and a lookup that feeds none of them is not made.
     """
-    past = past or history(calls)
-    rows = _timed(replayable(calls, sample))
-    states = cut(situation_counts(cut(vehicle_states(rows), "states"), situations), "states")
-    mine = states.select(*[F.col(c).alias(f"_{c}") if c in SNAPSHOT else F.col(c) for c in states.columns if c != "polled"])
-    ahead = rows.filter((F.col("call_type") == "estimated") & (F.coalesce("call_cancelled", F.lit(0)) == 0))
-    ahead = ahead.join(mine, [ahead[c].eqNullSafe(mine[f"_{c}"]) for c in SNAPSHOT]).drop(*[f"_{c}" for c in SNAPSHOT])
+    fields = [f for f in TRAINING_ROWS.fields if columns is None or f.name in columns]
+    asked = {f.name for f in fields}
+    weathered, situated, pathed = {"fc_air_temp", "fc_precip_mm", "fc_wind_mps"} & asked, {"sx_line_active", "sx_network_active"} & asked, {"seg_slack_sec"} & asked
+    recent = {"stop_recent_delay_sec", "line_recent_delay_sec"} & asked
+    bunched = {"headway_ahead_sec", "delay_ahead_sec"} & asked if with_bunching else set()
+    if pathed or recent or bunched:
+        past = past or history(calls)
+    placed = in_context(_timed(replayable(calls, sample)))
+    if pathed:
+        placed = cut(placed, "placed")
+    ahead = placed.filter((F.col("call_type") == "estimated") & (F.coalesce("call_cancelled", F.lit(0)) == 0))
     ahead = ahead.withColumn("horizon_sec", secs(F.col("expected"), F.col("polled"))).filter(
         F.col("aimed").isNotNull() & (F.col("order_no") > F.col("current_order")) & (F.col("horizon_sec") > 0)
     )
-    truth = labels(rows).select(*[F.col(c).alias(f"_{c}") for c in ("journey_ref", "operating_date", "order_no")], "truth", "known")
-    on = [ahead[c].eqNullSafe(truth[f"_{c}"]) for c in ("journey_ref", "operating_date", "order_no")]
     later = F.col("known") > F.struct("polled", "polled_at", "poll_id")
-    ahead = ahead.join(truth, on, "left").withColumn("label", F.when(later, F.col("truth"))).drop("truth", "known", "_journey_ref", "_operating_date", "_order_no")
+    ahead = ahead.withColumn("label", F.when(later, F.col("truth"))).drop("truth", "known")
     if require_label:
         ahead = ahead.filter("label is not null")
 
-    dates = service_dates(rows).select(F.col("journey_ref").alias("_j"), F.col("operating_date").alias("_d"), "service_date")
-    ahead = ahead.join(dates, (ahead["journey_ref"] == dates["_j"]) & ahead["operating_date"].eqNullSafe(dates["_d"]), "left").drop("_j", "_d")
-
-    # every lookup below answers the distinct questions of this one table
-    ahead = ahead.withColumns({"_hour": hour_floor(F.col("expected")), "bucket": bucket_of(F.col("polled"), past.bucket_seconds)})
-    ahead = base = cut(ahead, "ahead")
+    if weathered or situated or pathed or recent or bunched:
+        # every lookup below answers the distinct questions of this one table
+        seconds = past.bucket_seconds if past else BUCKET_SECONDS
+        ahead = ahead.withColumns({"_hour": hour_floor(F.col("expected")), "bucket": bucket_of(F.col("polled"), seconds)})
+        ahead = cut(ahead, "ahead")
+    base = ahead
 
+    if situated:
+        ahead = joined(ahead, situation_counts(base.select("polled", "snapshot_line").distinct(), situations), ["polled", "snapshot_line"])
+    else:
+        ahead = ahead.withColumns({c: F.lit(None).cast("long") for c in ("sx_line_active", "sx_network_active")})
     values = ["air_temp", "precip_mm", "wind_mps"]
-    forecasts = weather.select(instant("polled_at").alias("issued"), hour_floor(instant("forecast_time")).alias("_hour"), *values)
-    ahead = joined(ahead, as_of(base.select("_hour", "polled").distinct(), forecasts, ["_hour"], "polled", "issued", values, ties=values), ["_hour", "polled"])
-
-    paths = path_typicals(rows, states, past)
-    paths = paths.select(*[F.col(c).alias(f"_{c}") for c in (*SNAPSHOT, "order_no")], "typical_sum")
-    ahead = ahead.join(paths, [ahead[c].eqNullSafe(paths[f"_{c}"]) for c in (*SNAPSHOT, "order_no")], "left").drop(*[f"_{c}" for c in (*SNAPSHOT, "order_no")])
-
-    for series, keys, name in ((past.stops, ["stop_ref"], "stop_recent_delay_sec"), (past.lines, ["line_ref", "direction"], "line_recent_delay_sec")):
-        ahead = joined(ahead, closed_mean_table(base, series, keys, "bucket", past.recent_buckets, name), [*keys, "bucket"])
-    if with_bunching:
+    if weathered:
+        forecasts = weather.select(instant("polled_at").alias("issued"), hour_floor(instant("forecast_time")).alias("_hour"), *values)
+        ahead = joined(ahead, as_of(base.select("_hour", "polled").distinct(), forecasts, ["_hour"], "polled", "issued", values, ties=values), ["_hour", "polled"])
+    else:
+        ahead = ahead.withColumns({c: F.lit(None).cast("double") for c in values})
+    if pathed:
+        ahead = joined(ahead, path_typicals(placed, past), [*SNAPSHOT, "order_no"])
+    else:
+        ahead = ahead.withColumn("typical_sum", F.lit(None).cast("double"))
+    for series, keys, name in (("stops", ["stop_ref"], "stop_recent_delay_sec"), ("lines", ["line_ref", "direction"], "line_recent_delay_sec")):
+        if name in asked:
+            ahead = joined(ahead, closed_mean_table(base, getattr(past, series), keys, "bucket", past.recent_buckets, name), [*keys, "bucket"])
+    if bunched:
         events = past.passed.select("line_ref", "direction", "stop_ref", "seen", "journey_ref", F.col("arrived").alias("ahead_pass"), F.col("delay").alias("delay_ahead_sec"))
         ahead = last_by_other(
             ahead, events, ["line_ref", "direction", "stop_ref"], "polled", "seen", "journey_ref", ["ahead_pass", "delay_ahead_sec", "journey_ref"], ["ahead_pass", "delay_ahead_sec"]
@@ -229,4 +231,4 @@ def feature_rows(
         "entur_pred_delay_sec": secs(F.col("expected"), F.col("aimed")),
     })
     out = out.withColumn("polled_at", _iso(F.col("polled_at")))
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRAINING_ROWS.fields])
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])

@@ -80,3 +80,36 @@ def test_history_rules(spark):
     assert past.segments.filter(f"line_ref = '{LINE}'").count() == 2
     assert {tuple(r.counts) for r in h.exported(past.stops, ["stop_ref"]).collect()} == {(1, 1), (1,)}
     assert JOURNEY.endswith("test1")
+
+
+def test_a_report_takes_one_pass_over_the_calls(spark):
+    calls, weather, situations = more_traffic(spark)
+    reported = ("horizon_sec", "label_delay_sec", "current_delay_sec", "entur_pred_delay_sec")
+    some = replay.feature_rows(calls, weather, situations, columns=reported)
+    # the calls meet no copy of themselves: one exchange, by journey, and not one join
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    whole = replay.feature_rows(calls, weather, situations)
+    assert set(some.columns) == set(reported) and some.count() == whole.count() > 0
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
+
+
+def test_what_a_snapshot_knows_without_a_date(spark):
+    rows = [
+        # two orders seen, the later one current although its row stands first; no date in the feed
+        call(1, "10:06:00", "j1", 4, "recorded", "D", aimed_arr="12:04", actual_arr="12:05", date=None),
+        call(1, "10:06:00", "j1", 1, "recorded", "A", aimed_dep="12:00", actual_dep="12:00", date=None),
+        call(1, "10:06:00", "j1", 5, "estimated", "E", aimed_arr="12:10", expected_arr="12:12", date=None),
+        # cancelled as its first row says: no snapshot
+        call(2, "10:08:00", "j1", 1, "recorded", "A", aimed_dep="12:00", actual_dep="12:00", cancelled=1, date=None),
+        call(2, "10:08:00", "j1", 5, "estimated", "E", aimed_arr="12:10", expected_arr="12:12", date=None),
+        # passed with two times at the last poll: the later one counts
+        call(3, "10:20:00", "j1", 5, "recorded", "E", aimed_arr="12:10", actual_arr="12:13", date=None),
+        call(3, "10:20:00", "j1", 5, "recorded", "E", aimed_arr="12:10", actual_arr="12:14", date=None),
+    ]
+    calls = spark.createDataFrame(rows, schemas.CALLS)
+    none = [spark.createDataFrame([], s) for s in (schemas.WEATHER, schemas.SITUATIONS)]
+    for columns in (None, ("poll_id", "order_no", "operating_date", "current_order", "current_delay_sec", "delay_trend_sec", "n_recorded", "label_delay_sec", "sched_runtime_sec")):
+        (r,) = replay.feature_rows(calls, *none, columns=columns).collect()
+        assert (r.poll_id, r.order_no, r.current_order, r.current_delay_sec, r.delay_trend_sec, r.n_recorded, r.label_delay_sec) == (1, 5, 4, 60, 60, 2, 240)
+        assert (r.operating_date, r.sched_runtime_sec) == ("2026-07-25", 360)
