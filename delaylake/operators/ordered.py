@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Of each key the first row; ``order`` should be total."""
-    rest = [c for c in df.columns if c not in keys]
-    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key the first row; equals in ``order`` are told apart by the other columns.
+
+    The row is its own sort key, so a task holds it once and not as value and as order.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    least = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_r"))
     return least.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 

@@ -83,13 +83,22 @@ def vehicles(rows: DataFrame, calls: DataFrame, quays: DataFrame, lines: DataFra
     )
 
 
-def longest_patterns(calls: DataFrame) -> DataFrame:
-    """``line_ref, direction, path``: the stops of each line's journey with most stops (ties: least reference)."""
-    known = calls.filter("stop_ref is not null and order_no is not null")
-    sized = known.groupBy("line_ref", "direction", "journey_ref", "operating_date").agg(F.countDistinct("order_no").alias("stops"))
+def longest_journeys(sized: DataFrame) -> DataFrame:
+    """Of each line and direction the journey with most ``stops`` (ties: least reference)."""
     order = Window.partitionBy("line_ref", "direction").orderBy(F.desc("stops"), "journey_ref", "operating_date")
-    best = sized.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "stops")
-    b = best.select(*[F.col(c).alias(f"_{c}") for c in best.columns])
+    return sized.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("line_ref", "direction", "journey_ref", "operating_date")
+
+
+def longest_patterns(calls: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """``line_ref, direction, path``: the stops of each line's journey with most stops (ties: least reference).
+
+    ``best`` are these journeys (:func:`longest_journeys`) where the caller knows them;
+    one row per line and direction, so they are sent to the calls and not the calls to them.
+    """
+    known = calls.filter("stop_ref is not null and order_no is not null")
+    if best is None:
+        best = longest_journeys(known.groupBy("line_ref", "direction", "journey_ref", "operating_date").agg(F.countDistinct("order_no").alias("stops")))
+    b = F.broadcast(best.select(*[F.col(c).alias(f"_{c}") for c in best.columns]))
     own = known.join(b, [known[c].eqNullSafe(b[f"_{c}"]) for c in best.columns], "left_semi")
     steps = own.select("line_ref", "direction", "order_no", "stop_ref").distinct()
     path = F.transform(F.array_sort(F.collect_list(F.struct("order_no", "stop_ref"))), lambda x: x["stop_ref"])
