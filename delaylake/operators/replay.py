@@ -46,7 +46,7 @@ def _timed(calls: DataFrame) -> DataFrame:
     )
 
 
-def in_context(calls: DataFrame) -> DataFrame:
+def in_context(calls: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (:func:`_timed`) of running, uncancelled snapshots, each with what its journey, its stop and its snapshot tell.
 
     Of the journey ``service_date``: its operating date, or where the feed has none
@@ -61,7 +61,7 @@ def in_context(calls: DataFrame) -> DataFrame:
     recorded = F.col("call_type") == "recorded"
     last = F.struct("polled", "polled_at", "poll_id").alias("known")
     label = F.when(recorded & F.col("actual").isNotNull(), F.struct(last, F.struct("actual", "actual_text").alias("truth")))
-    rows = calls.repartition("journey_ref").withColumn("_label", F.max(label).over(stop))
+    rows = calls.repartition(*([parts] if parts else []), "journey_ref").withColumn("_label", F.max(label).over(stop))
     earliest = F.min_by(own_date(F.col("aimed_text")), F.struct("aimed", "aimed_text")).over(journey)
     rows = rows.withColumn("service_date", F.coalesce("operating_date", earliest))
 
@@ -156,12 +156,14 @@ def feature_rows(
     with_bunching: bool = False,
     require_label: bool = True,
     columns: tuple[str, ...] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Training rows (or, without ``require_label``, live rows) in the stored column order.
 
     ``past`` is the history to look up (by default that of ``calls``, all of it:
     sampling never thins history). ``columns`` are those to return, by default all;
     every row is there either way, and a lookup that feeds none of them is not made.
+    ``parts``: of the exchange by journey, where the caller knows the size of ``calls``.
     """
     fields = [f for f in TRAINING_ROWS.fields if columns is None or f.name in columns]
     asked = {f.name for f in fields}
@@ -170,7 +172,7 @@ def feature_rows(
     bunched = {"headway_ahead_sec", "delay_ahead_sec"} & asked if with_bunching else set()
     if pathed or recent or bunched:
         past = past or history(calls)
-    placed = in_context(_timed(replayable(calls, sample)))
+    placed = in_context(_timed(replayable(calls, sample)), parts)
     if pathed:
         placed = cut(placed, "placed")
     ahead = placed.filter((F.col("call_type") == "estimated") & (F.coalesce("call_cancelled", F.lit(0)) == 0))
